@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from rippleframe.llm import decontamination, mixing, resharding, toxicity
 from rippleframe.llm.common import table
 from rippleframe.llm.token_counts import count_tokens
 
@@ -14,8 +16,45 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
 
+def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Old shards: 40, each source whole in one of them by its hash."""
+    old = F.pmod(F.xxhash64("source"), F.lit(40))
+    out = resharding.reshard(table(spark, sf_dir, "documents"), old, 40)
+    return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "old_shard")
+
+
+def remainder(mod: int, col: str = "doc_id") -> Column:
+    return F.crc32(F.encode(F.coalesce(F.col(col).cast("string"), F.lit("")), "UTF-8")) % mod
+
+
+def toxicity_model(spark: SparkSession, sf_dir: str):
+    labels = table(spark, sf_dir, "labels").filter(remainder(5) != 0)
+    return toxicity.fit(table(spark, sf_dir, "documents"), labels)
+
+
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = toxicity.score(table(spark, sf_dir, "documents"), toxicity_model(spark, sf_dir))
+    return out.select("doc_id", (remainder(5) == 0).alias("held_out"), "score", "predicted")
+
+
+def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontamination.find_contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    digest = F.sha2(F.encode(F.array_join("item_ids", ","), "UTF-8"), 256)
+    return found.select("doc_id", "n_words", "n_hit", F.size("item_ids").cast("long").alias("n_items"), digest.alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
+
+
+def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+
+
 def queries() -> dict:
-    return {"op1_token_counts": op1_token_counts}
+    return {
+        "op1_token_counts": op1_token_counts,
+        "op2_sharding": op2_sharding,
+        "op5_toxicity": op5_toxicity,
+        "op7_decontamination": op7_decontamination,
+        "op8_mixing": op8_mixing,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
