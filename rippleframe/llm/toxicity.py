@@ -25,8 +25,8 @@ from rippleframe.llm.common import materialize, slices
 SIZES = (3, 4, 5)
 BITS = 20
 SAMPLE_ROWS = 20_000  # labelled rows fitted on, the first by a hash of their id
-FEATURES = 4096
-SMOOTH, PENALTY, STEPS = 1.0, 1e-4, 300
+FEATURES = 2048
+SMOOTH, PENALTY, STEPS = 1.0, 1e-2, 200
 CHUNK = 400_000  # characters at a time
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
