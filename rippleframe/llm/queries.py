@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rippleframe.llm import decontamination, mixing, resharding, toxicity
+from rippleframe.llm import decontamination, license_scan, mixing, resharding, toxicity
 from rippleframe.llm.common import table
 from rippleframe.llm.token_counts import count_tokens
 
@@ -37,6 +37,15 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", (remainder(5) == 0).alias("held_out"), "score", "predicted")
 
 
+def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = license_scan.scan_licenses(table(spark, sf_dir, "documents"))
+    base, more = F.transform("phrase_hits", lambda x: x["label"]), F.transform("notice_hits", lambda x: x["label"])
+    start = F.transform("phrase_hits", lambda x: x["start"])
+    joined = lambda a: F.array_join(F.array_sort(F.array_distinct(a)), ",")
+    score = F.greatest(F.coalesce(F.array_max(F.transform("notice_hits", lambda x: x["share"])), F.lit(0.0)), F.when(F.size("phrase_hits") > 0, 0.5).otherwise(0.0))
+    return out.select("doc_id", "n_words", F.size("phrase_hits").cast("long").alias("n_base"), F.array_min(start).alias("first_word"), F.array_max(start).alias("last_word"), joined(base).alias("base_labels"), joined(F.concat(base, more)).alias("labels"), score.alias("score"))
+
+
 def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontamination.find_contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     digest = F.sha2(F.encode(F.array_join("item_ids", ","), "UTF-8"), 256)
@@ -52,6 +61,7 @@ def queries() -> dict:
         "op1_token_counts": op1_token_counts,
         "op2_sharding": op2_sharding,
         "op5_toxicity": op5_toxicity,
+        "op6_license_scan": op6_license_scan,
         "op7_decontamination": op7_decontamination,
         "op8_mixing": op8_mixing,
     }
