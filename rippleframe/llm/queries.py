@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rippleframe.llm import decontamination, license_scan, mixing, nearest, resharding, toxicity
+from rippleframe.llm import decontamination, license_scan, lm_scoring, mixing, nearest, resharding, toxicity
 from rippleframe.llm.common import table
 from rippleframe.llm.token_counts import count_tokens
 
@@ -56,6 +56,10 @@ def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op9_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_scoring.score_texts(table(spark, sf_dir, "documents"), remainder(7) == 2)
+
+
 def op10_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "embeddings")
     return nearest.search(rows, rows.filter(F.col("vec_id") % 100 == 0))
@@ -69,6 +73,7 @@ def queries() -> dict:
         "op6_license_scan": op6_license_scan,
         "op7_decontamination": op7_decontamination,
         "op8_mixing": op8_mixing,
+        "op9_lm_scoring": op9_lm_scoring,
         "op10_nearest": op10_nearest,
     }
 
