@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rippleframe.llm import decontamination, license_scan, lm_scoring, mixing, nearest, resharding, toxicity
+from rippleframe.llm import decontamination, license_scan, lm_scoring, mixing, near_dedup, nearest, resharding, toxicity
 from rippleframe.llm.common import table
 from rippleframe.llm.token_counts import count_tokens
 
@@ -23,6 +23,11 @@ def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "old_shard")
 
 
+def op3_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = near_dedup.find_classes(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "class_id", (F.col("doc_id") == F.col("class_id")).alias("kept"))
+
+
 def remainder(mod: int, col: str = "doc_id") -> Column:
     return F.crc32(F.encode(F.coalesce(F.col(col).cast("string"), F.lit("")), "UTF-8")) % mod
 
@@ -69,6 +74,7 @@ def queries() -> dict:
     return {
         "op1_token_counts": op1_token_counts,
         "op2_sharding": op2_sharding,
+        "op3_near_dedup": op3_near_dedup,
         "op5_toxicity": op5_toxicity,
         "op6_license_scan": op6_license_scan,
         "op7_decontamination": op7_decontamination,
