@@ -35,7 +35,7 @@ from rippleframe.llm.common import LOWER_TABLE, materialize, slices
 DEPTH = 5
 TOP_WORDS = 65_536
 GRAM_BLOCK = 8_000_000  # grams in memory of a scoring task at a time
-CHUNK = 2_000_000  # bytes at a time
+CHUNK = 1_000_000  # bytes at a time
 _SLOTS = 24
 _HASH = np.uint64(0x9E3779B97F4A7C15)
 _LN10 = float(np.log(10))
@@ -76,10 +76,10 @@ def _count_grams(batches):
                 code, n = np.unique(grams(mine[a:b]), return_counts=True)
                 codes.append(code), counts.append(n * int(use))
                 held += len(code)
-                if held > 6_000_000:
+                if held > 2_000_000:
                     code, n = _merge(codes, counts)
                     codes, counts, held = [code], [n], 0
-                    if len(code) > 3_000_000:
+                    if len(code) > 1_500_000:
                         yield _pairs(code, n)
                         codes, counts = [], []
     if codes:
@@ -239,7 +239,7 @@ def _gram_table(name: str, packed) -> GramTable:
     """One table a worker process; later tasks of the same block use it too."""
     if name not in _tables:
         _tables.clear()
-        _tables[name] = GramTable(*packed.value)
+        _tables[name] = packed.value
     return _tables[name]
 
 
@@ -343,9 +343,12 @@ def score_texts(df: DataFrame, held_out: Column, id_col: str = "doc_id", text_co
     blocks = max(1, -(-model.count() // GRAM_BLOCK))
     for block in range(blocks):
         part = (model if blocks == 1 else model.filter(F.pmod(F.xxhash64("code"), F.lit(blocks)) == block)).toArrow()
-        packed = spark.sparkContext.broadcast((part["code"].to_numpy().astype(np.uint64), part["n"].to_numpy(), part["score"].to_numpy()))
-        rows = rows.mapInArrow(_add_scores(packed), rows.schema)
-    parts = rows.mapInArrow(_split_words(known, ends), f"uid long, id {kind}, held_out boolean, score double, word binary, freq int, part double, n_tokens long, n_known long")
+        packed = spark.sparkContext.broadcast(GramTable(part["code"].to_numpy().astype(np.uint64), part["n"].to_numpy(), part["score"].to_numpy()))
+        add = _add_scores(packed)
+        if block < blocks - 1:
+            rows = rows.mapInArrow(add, rows.schema)
+    split = _split_words(known, ends)
+    parts = rows.mapInArrow(lambda batches: split(add(batches)), f"uid long, id {kind}, held_out boolean, score double, word binary, freq int, part double, n_tokens long, n_known long")
     counts = vocabulary.hint("shuffle_hash")
     hit = F.col("n").isNotNull()
     parts = parts.join(counts, "word", "left").select(
