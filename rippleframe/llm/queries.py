@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rippleframe.llm import decontamination, license_scan, lm_scoring, mixing, near_dedup, nearest, resharding, toxicity
+from rippleframe.llm import decontamination, license_scan, lm_scoring, mixing, near_dedup, nearest, resharding, suffix_dedup, toxicity
 from rippleframe.llm.common import table
 from rippleframe.llm.token_counts import count_tokens
 
@@ -28,6 +28,12 @@ def op3_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "class_id", (F.col("doc_id") == F.col("class_id")).alias("kept"))
 
 
+def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    removed = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["stop"] - s["start"])
+    out = suffix_dedup.find_repeats(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), "kept_sha256")
+
+
 def remainder(mod: int, col: str = "doc_id") -> Column:
     return F.crc32(F.encode(F.coalesce(F.col(col).cast("string"), F.lit("")), "UTF-8")) % mod
 
@@ -75,6 +81,7 @@ def queries() -> dict:
         "op1_token_counts": op1_token_counts,
         "op2_sharding": op2_sharding,
         "op3_near_dedup": op3_near_dedup,
+        "op4_suffix_dedup": op4_suffix_dedup,
         "op5_toxicity": op5_toxicity,
         "op6_license_scan": op6_license_scan,
         "op7_decontamination": op7_decontamination,
