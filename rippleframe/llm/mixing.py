@@ -134,3 +134,12 @@ def mix(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_co
     done = flown if done is None else done.unionByName(flown)
     copies = (F.col("base") + F.round("chance").cast("long")).cast("long")
     return done.select(F.col("id").alias(id_col), "size", "source_size", "target", copies.alias("copies"), (F.col("size") * copies).alias("taken"), "seed")
+
+
+def apply_mix(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **options) -> DataFrame:
+    """The mix itself: every row as often as it is taken, all columns kept. Rows with equal id and
+    text stand for each other."""
+    copies = mix(df, id_col, text_col, source_col, **options).groupBy(F.col(id_col).alias("__id"), F.col("seed").alias("__seed")).agg(F.sum("copies").alias("__copies"))
+    rows = df.withColumn("__own", F.xxhash64(F.col(id_col), F.coalesce(F.col(text_col), F.lit("")))).dropDuplicates([id_col, "__own"])
+    rows = rows.join(copies.filter("__copies > 0"), F.col(id_col).eqNullSafe(F.col("__id")) & (F.col("__own") == F.col("__seed")))
+    return rows.withColumn("__n", F.explode(F.sequence(F.lit(1), F.col("__copies").cast("int")))).select(*df.columns)

@@ -243,12 +243,20 @@ def find_classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     named = signed.select("id", "node").join(classes, "node", "left").withColumn("class", F.coalesce("class", "node"))
     named = materialize(named)
     least = named.groupBy("class").agg(F.min("id").alias("class_id"))
-    return named.join(least, "class").select(F.col("id").alias(id_col), "node", "class_id")
+    return named.join(least, "class").select(F.col("id").alias(id_col), "node", "class", "class_id")
 
 
 def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
-    """One row of each class, all columns kept: its smallest id, of that id's rows the smallest text."""
+    """One row of each class, all columns kept: of its smallest id, where that has several texts the
+    smallest node's."""
     found = find_classes(df, id_col, text_col, threshold)
-    keep = found.filter(F.col(id_col).eqNullSafe(F.col("class_id"))).select(F.col(id_col).alias("__id"), F.hex("node").alias("__node")).distinct()
-    out = df.join(keep, F.col(id_col).eqNullSafe(F.col("__id")), "left_semi")
-    return out.dropDuplicates([id_col])
+    keep = found.filter(F.col(id_col).eqNullSafe(F.col("class_id"))).groupBy("class").agg(F.min("node").alias("__node"), F.first(id_col).alias("__id"))
+    rows = df.join(keep.select("__id", "__node"), F.col(id_col).eqNullSafe(F.col("__id"))).drop("__id")
+
+    def same(batches):
+        for batch in batches:
+            texts = [t or "" for t in batch.column(text_col).to_pylist()]
+            hit = [_node(fold_words(t.encode()), t) == n for t, n in zip(texts, batch.column("__node").to_pylist())]
+            yield batch.filter(pa.array(hit, pa.bool_()))
+
+    return rows.mapInArrow(same, rows.schema).dropDuplicates(["__node"]).drop("__node")

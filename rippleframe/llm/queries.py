@@ -16,10 +16,9 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
 
-def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+def shard(docs: DataFrame) -> DataFrame:
     """Old shards: 40, each source whole in one of them by its hash."""
-    old = F.pmod(F.xxhash64("source"), F.lit(40))
-    out = resharding.reshard(table(spark, sf_dir, "documents"), old, 40)
+    out = resharding.reshard(docs, F.pmod(F.xxhash64("source"), F.lit(40)), 40)
     return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "old_shard")
 
 
@@ -34,6 +33,10 @@ def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), "kept_sha256")
 
 
+def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shard(table(spark, sf_dir, "documents"))
+
+
 def remainder(mod: int, col: str = "doc_id") -> Column:
     return F.crc32(F.encode(F.coalesce(F.col(col).cast("string"), F.lit("")), "UTF-8")) % mod
 
