@@ -43,6 +43,7 @@ class PieceTable:
         self.model = sentencepiece.SentencePieceProcessor(model_file=model_path)
         vocab = map(self.model.id_to_piece, range(self.model.get_piece_size()))
         self.whole = any(_CROSSES.search(p) for p in vocab)  # then texts can't be cut
+        self.lone = len(self.model.encode("a ")) - len(self.model.encode("a"))  # a space that ends the text
         self.known: dict[str, int] = {}
 
     def frequencies(self, text: str) -> Counter:
@@ -56,6 +57,8 @@ class PieceTable:
         for i in range(0, len(new), 4096):
             part = new[i : i + 4096]
             self.known.update(zip(part, map(len, self.model.encode(part, num_threads=1))))
+        if "" in tokens:  # the encoder gives nothing for an empty string, with no space to put back
+            self.known[""] = self.lone
 
     def counts(self, texts: list[str]) -> list[int]:
         out, at, step = [], 0, 64
