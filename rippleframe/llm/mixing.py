@@ -5,8 +5,9 @@ number, and a fraction that is its inclusion probability. The flight phase moves
 probabilities inside the null-space of two constraints (tokens and documents of the source)
 three documents at a time, until at most two in a block stay fractional. Blocks of bounded
 size fly on their own; what they leave flies again together, block by block, until one
-block a source remains, whose last few documents are landed by trying every outcome and
-keeping the one nearest to the token total. All chances come from hashes of the rows, so
+block a source remains. There, twelve documents of graded sizes stay out of the flight, and
+with what it leaves they are the landing problem: every outcome is tried, and the one nearest
+to the token total kept. All chances come from hashes of the rows, so
 reruns agree.
 
 Defined results: null texts and texts without words have size 0 and take 0; a null source
@@ -15,8 +16,6 @@ is a source of its own (sorted last); repeated rows are sampled each; no rows gi
 
 from __future__ import annotations
 
-import itertools
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -25,6 +24,7 @@ from pyspark.sql import functions as F
 from rippleframe.llm.common import materialize
 
 BLOCK_ROWS = 8192
+RESERVE = 12  # documents of a source that stay open for the landing
 WEIGHTS = (5, 2, 1)  # repeating over the sorted sources
 SHARE, CAP = 1.5, 2.0
 EPS = 1e-9
@@ -79,19 +79,35 @@ def flight(size: np.ndarray, chance: np.ndarray, draw: np.ndarray) -> np.ndarray
     return np.array(p)
 
 
+def reserve(size: np.ndarray, most: int = RESERVE) -> np.ndarray:
+    """Rows kept for the landing: sizes near the largest and its successive halves, so that their
+    sums come close to any amount that is left."""
+    left, picked = dict(enumerate(size.tolist())), []
+    for k in range(min(most, len(left))):
+        want = float(size.max()) / 2**k
+        best = min(left, key=lambda i: (abs(left[i] - want), i))
+        picked.append(best)
+        del left[best]
+    return np.array(sorted(picked), int)
+
+
 def land(size: np.ndarray, chance: np.ndarray) -> np.ndarray:
     """The 0/1 outcome of a few documents that comes nearest to their tokens, then documents."""
-    aim, count = float((size * chance).sum()), float(chance.sum())
-    best = min(itertools.product((0, 1), repeat=len(size)), key=lambda x: (abs(sum(a * b for a, b in zip(size, x)) - aim), abs(sum(x) - count)))
-    return np.array(best, float)
+    outcomes = (np.arange(1 << len(size))[:, None] >> np.arange(len(size))) & 1
+    tokens = np.abs(outcomes @ size - float((size * chance).sum()))
+    rows = np.abs(outcomes.sum(1) - float(chance.sum()))
+    return outcomes[np.lexsort((rows, tokens))[0]].astype(float)
 
 
 def _fly(last: bool):
     def run(rows: pa.Table) -> pa.Table:
-        rows = rows.take(np.lexsort((rows["seed"].to_numpy(), -rows["size"].to_numpy())))  # the smallest stay open longest
-        size, chance = rows["size"].to_numpy(), rows["chance"].to_numpy()
+        rows = rows.take(np.lexsort((rows["size"].to_numpy(), rows["seed"].to_numpy())))
+        size, p = rows["size"].to_numpy(), rows["chance"].to_numpy().copy()
         draw = (rows["seed"].to_numpy().astype(np.uint64) >> np.uint64(11)) / float(1 << 53)
-        p = flight(size, chance, draw)
+        fly = np.flatnonzero((p > EPS) & (p < 1 - EPS))
+        if last and len(fly):
+            fly = np.delete(fly, reserve(size[fly]))
+        p[fly] = flight(size[fly], p[fly], draw[fly])
         open_ = (p > EPS) & (p < 1 - EPS)
         p = np.where(open_, p, np.round(p))
         if last and open_.any():
