@@ -7,12 +7,12 @@ one, so the work is about one arrival a shingle and a constant. Two components a
 probability Jaccard similarity (plain Jaccard where all counts are one). Bands of components
 give buckets; pairs are verified exactly on the shingles of the whole texts.
 
-Equal word sequences are one node. Buckets never emit all their pairs: the first round pairs
-each node with the smallest and the largest of its bucket. Buckets that verified links have
-joined into one class are done; in the others one node a class is paired with the nodes of
-the other classes, twice as many classes each round, until every bucket is one class or all
-its class pairs are tested. So no link inside a bucket is lost, and hot groups cost rows in
-proportion to their size.
+Equal word sequences are one node. Buckets never emit all their pairs: in the first round each
+node meets the two most central nodes of its bucket, those whose buckets hold the most nodes.
+Where verified links leave a bucket in several classes, its other classes meet the eight most
+central nodes, and in buckets of up to sixteen nodes every node of another class, round after
+round until no new link appears. A node of a large bucket that differs from the central ones
+still meets its close relatives in the small buckets that only they share.
 
 Defined results: null texts are empty; texts without words equal only texts with the same
 characters; texts of one to four words have one shingle; a null id is an ordinary row and the
@@ -26,7 +26,7 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from rippleframe.llm.common import fold_words, materialize, slices
@@ -34,6 +34,8 @@ from rippleframe.llm.common import fold_words, materialize, slices
 SHINGLE = 5
 THRESHOLD = 0.8
 BANDS, ROWS = 32, 5
+PIVOTS = 8  # nodes of a bucket that all its other classes are compared with
+WHOLE = 16  # up to this size, all classes of a bucket are compared node by node
 CHUNK = 6_000_000  # bytes at a time
 WORD_LIMIT = 1_000_000  # entries of the word hash table of a worker process
 _A, _B, _C = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
@@ -204,8 +206,12 @@ def find_classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     nodes = signed.filter("bands is not null").groupBy("node").agg(F.first("bands").alias("bands"), F.min("id").alias("id"))
     nodes = materialize(nodes)
     rows_of = nodes.select("node", F.explode("bands").alias("bucket"))
-    shared = rows_of.groupBy("bucket").agg(F.count("*").alias("n"), F.min("node").alias("lo"), F.max("node").alias("hi")).filter("n > 1").drop("n")
+    shared = rows_of.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1")
     members = materialize(rows_of.join(shared, "bucket"))
+    central = members.groupBy("node").agg(F.sum("n").alias("central"))
+    best = Window.partitionBy("bucket").orderBy(F.desc("central"), "node")
+    pivots = members.join(central, "node").withColumn("r", F.row_number().over(best)).filter(F.col("r") <= PIVOTS)
+    pivots = materialize(pivots.select("bucket", F.col("node").alias("x"), "r"))
     wanted = nodes.join(members.select("node").distinct(), "node").select("node", "bands", F.col("id").alias("at"))
     texts = wanted.join(rows, F.col("at").eqNullSafe(rows["id"])).select("node", "bands", "text")
     texts = materialize(texts.mapInArrow(_rehash, texts.schema).dropDuplicates(["node"]))
@@ -218,28 +224,28 @@ def find_classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     def ordered(pairs: DataFrame) -> DataFrame:
         return pairs.filter("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
 
-    done = tested(ordered(members.select(F.col("node").alias("x"), F.explode(F.array("lo", "hi")).alias("y"))))
-    classes, width = components(done.filter("linked")), 2
+    first = members.join(pivots.filter("r <= 2"), "bucket")
+    done = tested(ordered(first.select("x", F.col("node").alias("y"))))
+    classes = components(done.filter("linked"))
     while True:
-        placed = members.select("bucket", "node").join(classes, "node", "left").withColumn("class", F.coalesce("class", "node"))
-        open_ = placed.groupBy("bucket").agg(F.min("class").alias("c"), F.max("class").alias("d")).filter("c <> d").select("bucket")
-        placed = materialize(placed.join(open_, "bucket"))
-        heads = placed.groupBy("bucket", "class").agg(F.min("node").alias("x"))
-        small = heads.groupBy("bucket").agg(F.slice(F.array_sort(F.collect_list(F.struct("class", "x"))), 1, width).alias("h"))
-        heads = small.select("bucket", F.explode("h").alias("h")).select("bucket", F.col("h.class").alias("other"), F.col("h.x").alias("x"))
-        pairs = ordered(placed.join(heads, "bucket").filter("class <> other").select("x", F.col("node").alias("y")))
+        of = classes.select("node", "class")
+        placed = members.join(of, "node", "left").withColumn("class", F.coalesce("class", "node"))
+        heads = pivots.join(of.withColumnRenamed("node", "x"), "x", "left").withColumn("other", F.coalesce("class", "x")).drop("class")
+        main = heads.filter("r = 1").select("bucket", F.col("other").alias("main"))
+        placed = materialize(placed.join(main, "bucket"))
+        apart = placed.filter("class <> main").select("bucket", "n", "class", F.col("node").alias("y"))
+        with_heads = apart.join(heads, "bucket").filter("class <> other").select("x", "y")
+        small = placed.filter(F.col("n") <= WHOLE).select("bucket", F.col("node").alias("x"), F.col("class").alias("other"))
+        with_all = apart.filter(F.col("n") <= WHOLE).join(small, "bucket").filter("class <> other").select("x", "y")
+        pairs = ordered(with_heads.unionByName(with_all))
         pairs = materialize(pairs.join(done.select("a", "b"), ["a", "b"], "left_anti"))
         if not pairs.limit(1).count():
-            wide = placed.groupBy("bucket").agg(F.count_distinct("class").alias("n")).agg(F.max("n")).first()[0] or 0
-            if width >= wide:
-                break
-            width *= 2
-            continue
+            break
         more = tested(pairs)
         done = done.unionByName(more)
-        if more.filter("linked").limit(1).count():
-            classes = components(done.filter("linked"))
-        width *= 2
+        if not more.filter("linked").limit(1).count():
+            break
+        classes = components(done.filter("linked"))
     named = signed.select("id", "node").join(classes, "node", "left").withColumn("class", F.coalesce("class", "node"))
     named = materialize(named)
     least = named.groupBy("class").agg(F.min("id").alias("class_id"))

@@ -94,5 +94,36 @@ def queries() -> dict:
     }
 
 
+_WORDS = "regexp_extract_all(translate(coalesce({}, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
+
+
+def _license_sql() -> str:
+    shapes = [(label, p.split(" "), p.split(" "), True) for p, label in license_scan.PHRASES.items()] + [(label, n.split(" "), k.split(" "), False) for label, n, k in license_scan.NOTICES]
+    words = []
+    for t, (label, notice, key, base) in enumerate(shapes):
+        at = next(i for i in range(len(notice)) if notice[i : i + len(key)] == key)
+        words += [f"({t}, '{label}', {base}, {len(notice)}, {len(key)}, '{w}', {i}, {int(at <= i < at + len(key))})" for i, w in enumerate(notice)]
+    return f"""WITH shape(t, label, base, n, n_key, w, j, in_key) AS (VALUES {", ".join(words)}),
+  docs AS (SELECT doc_id, {_WORDS.format("text")} AS ws FROM documents),
+  words AS (SELECT doc_id, unnest(ws) AS w, unnest(range(len(ws))) AS i FROM docs),
+  hits AS (SELECT doc_id, t, label, base, i - j AS start, count(*) / n AS share FROM words JOIN shape USING (w) GROUP BY doc_id, t, label, base, i - j, n, n_key
+    HAVING sum(in_key) = n_key AND count(*) >= {license_scan.MIN_MATCH} * n)
+SELECT d.doc_id, len(any_value(ws)) AS n_words, count(*) FILTER (base) AS n_base, min(start) FILTER (base) AS first_word, max(start) FILTER (base) AS last_word,
+  coalesce(string_agg(DISTINCT label, ',' ORDER BY label) FILTER (base), '') AS base_labels, coalesce(string_agg(DISTINCT label, ',' ORDER BY label), '') AS labels,
+  CAST(greatest(coalesce(max(share) FILTER (NOT base), 0), CASE WHEN count(*) FILTER (base) > 0 THEN 0.5 ELSE 0 END) AS DOUBLE) AS score
+FROM docs d LEFT JOIN hits h ON h.doc_id = d.doc_id GROUP BY d.doc_id"""
+
+
+_CONTAMINATION_SQL = f"""WITH docs AS (SELECT doc_id, {_WORDS.format("text")} AS ws FROM documents),
+  items AS (SELECT item_id, ws, least({decontamination.WINDOW}, len(ws)) AS n FROM (SELECT item_id, {_WORDS.format("text")} AS ws FROM benchmark) WHERE len(ws) > 0),
+  wanted AS (SELECT DISTINCT item_id, n, array_to_string(list_slice(ws, i, i + n - 1), ' ') AS win FROM (SELECT *, unnest(range(1, len(ws) - n + 2)) AS i FROM items)),
+  spots AS (SELECT doc_id, ws, n, unnest(range(1, len(ws) - n + 2)) AS i FROM docs CROSS JOIN (SELECT DISTINCT n FROM items) WHERE len(ws) >= n),
+  hits AS (SELECT doc_id, s.i, s.n, item_id FROM (SELECT doc_id, n, i, array_to_string(list_slice(ws, i, i + n - 1), ' ') AS win FROM spots) s JOIN wanted w ON w.win = s.win AND w.n = s.n),
+  covered AS (SELECT doc_id, count(DISTINCT place) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + n)) AS place FROM hits) GROUP BY doc_id),
+  found AS (SELECT doc_id, count(DISTINCT item_id) AS n_items, string_agg(DISTINCT CAST(item_id AS VARCHAR), ',' ORDER BY CAST(item_id AS VARCHAR)) AS ids FROM hits GROUP BY doc_id)
+SELECT d.doc_id, len(ws) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM docs d LEFT JOIN covered USING (doc_id) LEFT JOIN found USING (doc_id)"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op6_license_scan": _license_sql(), "op7_decontamination": _CONTAMINATION_SQL}

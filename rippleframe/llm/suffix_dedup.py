@@ -2,9 +2,10 @@
 
 Every window of `LENGTH` bytes has one anchor: the leftmost of its `SEED`-byte strings with
 the smallest hash. Equal windows have equal anchors at equal offsets, so only anchors whose
-hash occurs more than once matter. For these, the bytes around the anchor (a fragment: all
-windows that may hang on it) travel to the partition of the hash, equal fragments of a batch
-as one. There the distinct fragments become sequences of eight-byte symbols, to the right of
+hash occurs more than once matter. The bytes around such an anchor (a fragment) hold all
+windows that may hang on it. Where all fragments of a hash are equal by a 128-bit digest,
+every window in them occurs again. The others travel to the partition of the hash, equal
+fragments of a batch as one, and become sequences of eight-byte symbols, to the right of
 the anchor and, reversed, to the left. One suffix array orders both: suffix groups are
 processed in descending order and split by the pointers to their previous smaller suffix,
 then each group's order is emitted, without renaming or recursion. Neighbours in it that
@@ -178,21 +179,97 @@ def _anchor_rows(batches):
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([f[1] for f in found]).astype(np.int64)), batch.column(0).take(n), batch.column(1).take(n), pa.array(np.concatenate([f[0] for f in found]).astype(np.int32))], ["hash", "k1", "k2", "at"])
 
 
+def _around(batch):
+    """(k1, k2, anchor, hash, bytes before, bytes from the anchor on) of every place of a batch."""
+    k1s, k2s, texts, places = (batch.column(c).to_pylist() for c in ("k1", "k2", "text", "places"))
+    for k1, k2, text, found in zip(k1s, k2s, texts, places):
+        raw = text.encode()
+        for p in found:
+            at = p["at"]
+            yield k1, k2, at, p["hash"], raw[max(0, at - LEFT) : at], raw[at : at + LENGTH]
+
+
+def _print_rows(batches):
+    """One row for each distinct fragment of a batch: a digest in place of its bytes, its places packed."""
+    for batch in batches:
+        seen: dict[tuple, list] = {}
+        for k1, k2, at, h, left, right in _around(batch):
+            digest = hashlib.blake2b(left + b"\0" + right, digest_size=16).digest()
+            seen.setdefault((h, digest, len(left), len(right)), []).append((k1, k2, at))
+        if seen:
+            h, digest, left, right = zip(*seen)
+            where = [np.array(v, np.int64).tobytes() for v in seen.values()]
+            yield pa.RecordBatch.from_arrays([pa.array(h, pa.int64()), pa.array(digest, pa.binary()), pa.array(left, pa.int32()), pa.array(right, pa.int32()), pa.array(where, pa.binary())], ["hash", "digest", "left", "right", "places"])
+
+
 def _fragment_rows(batches):
     """One row for each distinct fragment of a batch, with its places packed."""
     for batch in batches:
         seen: dict[tuple, list] = {}
-        for k1, k2, text, places in zip(*(c.to_pylist() for c in batch.columns)):
-            raw = text.encode()
-            for p in places:
-                at, h = p["at"], p["hash"]
-                seen.setdefault((h, raw[max(0, at - LEFT) : at], raw[at : at + LENGTH]), []).append((k1, k2, at))
+        for k1, k2, at, h, left, right in _around(batch):
+            seen.setdefault((h, left, right), []).append((k1, k2, at))
         if seen:
             where = [np.array(v, np.int64).tobytes() for v in seen.values()]
             h, left, right = zip(*seen)
             yield pa.RecordBatch.from_arrays([pa.array(h, pa.int64()), pa.array(left, pa.binary()), pa.array(right, pa.binary()), pa.array(where, pa.binary())], ["hash", "left", "right", "places"])
 
 
+def _groups(batches):
+    """{(digest, left, right): places} of each anchor hash; rows come sorted by hash."""
+    current, last = {}, None
+    for batch in batches:
+        for h, digest, left, right, places in zip(*(c.to_pylist() for c in batch.columns)):
+            if h != last and current:
+                yield last, current
+                current = {}
+            last = h
+            current.setdefault((digest, left, right), []).append(places)
+    if current:
+        yield last, current
+
+
+def _uniform(batches):
+    """Ranges of the anchors whose fragments are all equal: every window they hold occurs again."""
+    out, held = [], 0
+    for _, prints in _groups(batches):
+        if len(prints) == 1:
+            ((_, left, right), packed), = prints.items()
+            places = np.frombuffer(b"".join(packed), np.int64).reshape(-1, 3)
+            low = max(0, LENGTH - right)
+            if len(places) > 1 and low <= left:
+                out.append(np.column_stack([places[:, 0], places[:, 1], places[:, 2] - left, places[:, 2] - low + LENGTH]))
+                held += len(places)
+        if held > 100_000:
+            yield _ranges(np.concatenate(out))
+            out, held = [], 0
+    if out:
+        yield _ranges(np.concatenate(out))
+
+
+def _mixed(batches):
+    """Places of the anchors that stand in different fragments."""
+    out, hashes, held = [], [], 0
+    for h, prints in _groups(batches):
+        if len(prints) > 1:
+            places = np.frombuffer(b"".join(x for packed in prints.values() for x in packed), np.int64).reshape(-1, 3)
+            out.append(places)
+            hashes.append(np.full(len(places), h, np.int64))
+            held += len(places)
+        if held > 100_000:
+            yield _places(np.concatenate(out), np.concatenate(hashes))
+            out, hashes, held = [], [], 0
+    if out:
+        yield _places(np.concatenate(out), np.concatenate(hashes))
+
+
+def _places(rows: np.ndarray, hashes: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(hashes), pa.array(rows[:, 0]), pa.array(rows[:, 1]), pa.array(rows[:, 2].astype(np.int32))], ["hash", "k1", "k2", "at"])
+
+
+def _ranges(rows: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(rows[:, 0]), pa.array(rows[:, 1]), pa.array(rows[:, 2].astype(np.int32)), pa.array(rows[:, 3].astype(np.int32))], ["k1", "k2", "start", "stop"])
+
+
 def _padded(parts: list[bytes], width: int) -> np.ndarray:
     return np.frombuffer(b"".join(p.ljust(width, b"\0") for p in parts), np.uint8).reshape(len(parts), width)
 
@@ -238,25 +315,11 @@ def _runs(starts: np.ndarray) -> list[tuple[int, int]]:
 
 def _solve(groups: list[dict]) -> pa.RecordBatch | None:
     """Removed ranges of all places of the fragments of complete anchor groups."""
-    mixed, spans = [], []
-    for fragments in groups:
-        if len(fragments) > 1:
-            mixed += fragments.items()
-            continue
-        ((h, left, right), places), = fragments.items()
-        if len(places) > 1:
-            able = [d for d in range(len(left) + 1) if len(right) >= LENGTH - d]
-            if able:
-                spans.append((places, [(able[0], able[-1])]))
-    if mixed:
-        h, left, right = zip(*(k for k, _ in mixed))
-        found = repeated_starts(list(h), list(left), list(right), np.array([len(v) for _, v in mixed]))
-        spans += [(v, _runs(row)) for (_, v), row in zip(mixed, found) if row.any()]
-    rows = [np.column_stack([p[:, 0], p[:, 1], p[:, 2] - hi, p[:, 2] - lo + LENGTH]) for p, runs in spans for lo, hi in runs]
-    if not rows:
-        return None
-    rows = np.concatenate(rows)
-    return pa.RecordBatch.from_arrays([pa.array(rows[:, 0]), pa.array(rows[:, 1]), pa.array(rows[:, 2].astype(np.int32)), pa.array(rows[:, 3].astype(np.int32))], ["k1", "k2", "start", "stop"])
+    mixed = [x for fragments in groups for x in fragments.items()]
+    h, left, right = zip(*(k for k, _ in mixed))
+    found = repeated_starts(list(h), list(left), list(right), np.array([len(v) for _, v in mixed]))
+    rows = [np.column_stack([p[:, 0], p[:, 1], p[:, 2] - hi, p[:, 2] - lo + LENGTH]) for (_, p), row in zip(mixed, found) if row.any() for lo, hi in _runs(row)]
+    return _ranges(np.concatenate(rows)) if rows else None
 
 
 def _repeats(batches):
@@ -309,11 +372,19 @@ def find_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     rows = rows.select(F.xxhash64("id", "text").alias("k1"), F.hash("text", "id").cast("long").alias("k2"), "id", "text")
     found = materialize(rows.select("k1", "k2", "text").mapInArrow(_anchor_rows, "hash long, k1 long, k2 long, at int"))
     twice = found.groupBy("hash").count().filter("count > 1").select("hash")
-    places = found.join(twice, "hash").groupBy("k1", "k2").agg(F.collect_set(F.struct("at", "hash")).alias("places"))
-    around = rows.join(places.hint("shuffle_hash"), ["k1", "k2"]).select("k1", "k2", "text", "places")
-    fragments = around.mapInArrow(_fragment_rows, "hash long, left binary, right binary, places binary")
-    repeats = fragments.repartition("hash").sortWithinPartitions("hash").mapInArrow(_repeats, "k1 long, k2 long, start int, stop int")
-    ranges = materialize(repeats.groupBy("k1", "k2").agg(F.collect_list(F.struct("start", "stop")).alias("ranges")))
+
+    def around(places: DataFrame) -> DataFrame:
+        """The rows that hold these places; the one exchange of the texts serves all joins with them."""
+        listed = places.groupBy("k1", "k2").agg(F.collect_set(F.struct("at", "hash")).alias("places"))
+        return rows.join(listed.hint("shuffle_hash"), ["k1", "k2"]).select("k1", "k2", "id", "text", "places")
+
+    ordered = lambda x: x.repartition("hash").sortWithinPartitions("hash")
+    prints = ordered(around(found.join(twice, "hash")).mapInArrow(_print_rows, "hash long, digest binary, left int, right int, places binary"))
+    uniform = prints.mapInArrow(_uniform, "k1 long, k2 long, start int, stop int")
+    mixed = prints.mapInArrow(_mixed, "hash long, k1 long, k2 long, at int")
+    fragments = ordered(around(mixed).mapInArrow(_fragment_rows, "hash long, left binary, right binary, places binary"))
+    repeats = uniform.unionByName(fragments.mapInArrow(_repeats, "k1 long, k2 long, start int, stop int"))
+    ranges = repeats.groupBy("k1", "k2").agg(F.collect_list(F.struct("start", "stop")).alias("ranges"))
     cut = rows.join(ranges.hint("shuffle_hash"), ["k1", "k2"], "left").select("id", "text", "ranges")
     out = cut.mapInArrow(_cut, f"id {kind}, n_bytes long, spans array<struct<start:int,stop:int>>, kept_sha256 string")
     return out.withColumnRenamed("id", id_col)
