@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from rippleframe.operators.loops import cut as materialize  # noqa: F401  a written table in the shared folder ends the lineage
+
 # Fixed values of the contracts: ASCII letters are lower-cased, and a word is a run of
 # ASCII letters, digits and non-ASCII bytes. Every other byte separates.
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
@@ -32,22 +31,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or one of our own where it is unset."""
-    jsc = spark.sparkContext._jsc.sc()
-    if jsc.getCheckpointDir().isEmpty():
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="ckpt-"))
-    return jsc.getCheckpointDir().get()
-
-
-def materialize(df: DataFrame) -> DataFrame:
-    """Cut the lineage with a written table in the shared folder."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/t-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def slices(sizes: list[int], most: int):
     """Index ranges of consecutive items of at most `most` bytes together (one item at least)."""
     start = total = 0
