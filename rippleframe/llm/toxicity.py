@@ -1,6 +1,7 @@
 """Toxicity: a character n-gram linear classifier on naive Bayes log-count ratios.
 
-Features are the presence of hashed character n-grams (3 to 5 code points, lower-cased). A
+Features are the presence of hashed character n-grams (4 to 6 code points of
+the lower-cased words, each with a space before and after). A
 bounded sample of labelled rows gives document counts of every feature by class, from them
 the log-count ratios, and the features that separate the classes most; the linear weights
 over the ratio-scaled features are fitted by logistic regression. Scoring reads every row
@@ -15,6 +16,8 @@ not read.
 
 from __future__ import annotations
 
+import re
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -22,13 +25,14 @@ from pyspark.sql import functions as F
 
 from rippleframe.llm.common import materialize, slices
 
-SIZES = (3, 4, 5)
+SIZES = (4, 5, 6)
 BITS = 20
 SAMPLE_ROWS = 20_000  # labelled rows fitted on, the first by a hash of their id
-FEATURES = 2048
+FEATURES = 1024
 SMOOTH, PENALTY, STEPS = 1.0, 1e-2, 200
 CHUNK = 400_000  # characters at a time
 _MIX = np.uint64(0x9E3779B97F4A7C15)
+_GAP = re.compile(r"[\W_]+")
 
 
 def _grams(texts: list[str]):
@@ -57,7 +61,8 @@ def present(texts: list[str], wanted: np.ndarray | None = None) -> tuple[np.ndar
 
 
 def _fold(column: pa.Array) -> list[str]:
-    return [(t or "").lower().replace("\0", " ") for t in column.to_pylist()]
+    """Lower-cased words with one space around each, so that word starts and ends are in the n-grams."""
+    return [f" {_GAP.sub(' ', (t or '').lower())} " for t in column.to_pylist()]
 
 
 def _count(batches):
