@@ -234,7 +234,9 @@ def find_classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         main = heads.filter("r = 1").select("bucket", F.col("other").alias("main"))
         placed = materialize(placed.join(main, "bucket"))
         apart = placed.filter("class <> main").select("bucket", "n", "class", F.col("node").alias("y"))
-        with_heads = apart.join(heads, "bucket").filter("class <> other").select("x", "y")
+        listed = heads.groupBy("bucket").agg(F.collect_list(F.struct("x", "other")).alias("heads"))  # at most PIVOTS
+        met = apart.join(listed, "bucket").groupBy("y", "class").agg(F.array_distinct(F.flatten(F.collect_list("heads"))).alias("heads"))  # of at most BANDS lists
+        with_heads = met.select("y", "class", F.explode("heads").alias("h")).filter("class <> h.other").select(F.col("h.x").alias("x"), "y")
         small = placed.filter(F.col("n") <= WHOLE).select("bucket", F.col("node").alias("x"), F.col("class").alias("other"))
         with_all = apart.filter(F.col("n") <= WHOLE).join(small, "bucket").filter("class <> other").select("x", "y")
         pairs = ordered(with_heads.unionByName(with_all))
