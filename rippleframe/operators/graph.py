@@ -2,11 +2,68 @@
 
 from __future__ import annotations
 
+from collections import deque
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rippleframe.operators.loops import cut
 
+# Up to these sizes a traversal runs on the driver, where a round costs no job; beyond any of
+# them the distributed loop does the same.
+LOCAL_EDGES, LOCAL_SEEDS, LOCAL_PAIRS = 200_000, 1_000, 2_000_000
+
+
+def _bounded(df: DataFrame, most: int) -> pa.Table | None:
+    """The rows, if there are at most `most`."""
+    if not most:
+        return None
+    got = df.limit(most + 1).toArrow()
+    return got if got.num_rows <= most else None
+
+
+def _adjacency(table: pa.Table, start: str, end: str) -> dict:
+    out: dict = {}
+    for a, b in zip(table[start].to_pylist(), table[end].to_pylist()):
+        out.setdefault(a, []).append(b)
+    return out
+
+
+def _local_closure(back: dict, seeds: list) -> list[tuple] | None:
+    """Breadth-first from each seed; None where the pairs get too many."""
+    pairs = []
+    for seed in seeds:
+        seen, queue = {seed}, deque([seed])
+        while queue:
+            for node in back.get(queue.popleft(), ()):
+                if node not in seen:
+                    seen.add(node)
+                    queue.append(node)
+        seen.discard(seed)
+        pairs += [(seed, node) for node in seen]
+        if len(pairs) > LOCAL_PAIRS:
+            return None
+    return pairs
+
+
+def _local_path(ahead: dict, affected, changed) -> list | None:
+    """Breadth-first with neighbours in order: the least of the shortest paths."""
+    parent, queue = {affected: None}, deque([affected])
+    while queue and changed not in parent:
+        at = queue.popleft()
+        for node in ahead.get(at, ()):
+            if node not in parent:
+                parent[node] = at
+                queue.append(node)
+    if changed not in parent:
+        return None
+    path, at = [changed], changed
+    while at != affected:
+        at = parent[at]
+        path.append(at)
+    return path[::-1]
+
 
 def edges_of(evidence: DataFrame) -> DataFrame:
     return evidence.select("dependent", "dependency").distinct()
@@ -35,8 +92,16 @@ def reverse_closure(edges: DataFrame, seeds: DataFrame, max_rounds: int | None =
 
     Level-synchronous: only the newest pairs are joined with the edges, and pairs seen before are
     dropped, so cycles end. `seeds` has column `node`."""
+    start = seeds.select("node").filter("node is not null").distinct()
+    small = _bounded(edges.select("dependency", "dependent").distinct(), LOCAL_EDGES) if max_rounds is None else None
+    first = _bounded(start, LOCAL_SEEDS) if small is not None else None
+    if first is not None:
+        pairs = _local_closure(_adjacency(small, "dependency", "dependent"), first["node"].to_pylist())
+        if pairs is not None:
+            kind = small.schema.field("dependent").type
+            return edges.sparkSession.createDataFrame(pa.table({"seed": pa.array([p[0] for p in pairs], kind), "node": pa.array([p[1] for p in pairs], kind)}))
     back = cut(edges.select("dependency", "dependent").distinct())
-    new = seeds.select(F.col("node").alias("seed"), "node").distinct()
+    new = start.select(F.col("node").alias("seed"), "node")
     seen = new = cut(new)
     rounds = 0
     while max_rounds is None or rounds < max_rounds:
@@ -52,6 +117,14 @@ def reverse_closure(edges: DataFrame, seeds: DataFrame, max_rounds: int | None =
 def shortest_paths(edges: DataFrame, pairs: DataFrame) -> DataFrame:
     """(changed, affected, path): of the shortest paths from affected down to changed the least in
     node order; pairs without a path are absent. `pairs` has changed, affected."""
+    small = _bounded(edges.select("dependent", "dependency").distinct(), LOCAL_EDGES)
+    asked = _bounded(pairs.select("changed", "affected").distinct(), LOCAL_SEEDS) if small is not None else None
+    if asked is not None:
+        ahead = _adjacency(small.sort_by([("dependent", "ascending"), ("dependency", "ascending")]), "dependent", "dependency")
+        rows = [(c, a, _local_path(ahead, a, c)) for c, a in zip(asked["changed"].to_pylist(), asked["affected"].to_pylist())]
+        rows = [r for r in rows if r[2]]
+        kind = small.schema.field("dependent").type
+        return edges.sparkSession.createDataFrame(pa.table({"changed": pa.array([r[0] for r in rows], kind), "affected": pa.array([r[1] for r in rows], kind), "path": pa.array([r[2] for r in rows], pa.list_(kind))}))
     out_edges = cut(edges.distinct())
     goal = cut(pairs.select("changed", "affected").distinct())
     new = cut(goal.select("changed", "affected", F.col("affected").alias("node"), F.array("affected").alias("path")))

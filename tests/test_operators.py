@@ -8,6 +8,7 @@ from hypothesis import strategies as st
 from rippleframe.errors import ConfigError, GitError
 from rippleframe.functions.paths import glob_to_regex
 from rippleframe.operators import changes as C
+from rippleframe.operators import graph
 from rippleframe.operators.graph import reverse_closure, shortest_paths
 from rippleframe.operators.resolve import resolve
 from rippleframe.sources.git import decode_status
@@ -17,6 +18,24 @@ from rippleframe.sources.inventory import normalize_excludes, normalize_roots
 @settings(max_examples=5, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
 @given(st.sets(st.tuples(st.integers(0, 9), st.integers(0, 9)), max_size=25))
 def test_closure_and_shortest_paths_against_bfs(spark, pairs):
+    check_traversals(spark, pairs, graph.LOCAL_EDGES)
+
+
+@settings(max_examples=3, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@given(st.sets(st.tuples(st.integers(0, 9), st.integers(0, 9)), max_size=25))
+def test_distributed_traversals_against_bfs(spark, pairs):
+    check_traversals(spark, pairs, 0)
+
+
+def check_traversals(spark, pairs, most):
+    before, graph.LOCAL_EDGES = graph.LOCAL_EDGES, most
+    try:
+        compare_traversals(spark, pairs)
+    finally:
+        graph.LOCAL_EDGES = before
+
+
+def compare_traversals(spark, pairs):
     edges = {(a, b) for a, b in pairs if a != b}
     frame = spark.createDataFrame(sorted(edges), "dependent int, dependency int")
     back, ahead = {}, {}
