@@ -7,12 +7,14 @@ one, so the work is about one arrival a shingle and a constant. Two components a
 probability Jaccard similarity (plain Jaccard where all counts are one). Bands of components
 give buckets; pairs are verified exactly on the shingles of the whole texts.
 
-Equal word sequences are one node. Buckets never emit all their pairs: in the first round each
-node meets the two most central nodes of its bucket, those whose buckets hold the most nodes.
-Where verified links leave a bucket in several classes, its other classes meet the eight most
-central nodes, and in buckets of up to sixteen nodes every node of another class, round after
-round until no new link appears. A node of a large bucket that differs from the central ones
-still meets its close relatives in the small buckets that only they share.
+Equal word sequences are one node. In the first round each node meets the two most central
+nodes of its bucket, those whose buckets hold the most nodes. Where verified links leave a
+bucket in several classes, every node outside its main class then meets every node of another
+class in it: pair by pair in buckets of up to sixteen nodes, and in larger ones by blocks of
+bounded bytes, so that a text travels once for each block it meets. In a pair of blocks the
+masses of the shared shingles bound the similarity from above, and only pairs whose bound
+reaches the threshold and that are not yet in one class are verified. No pair of a bucket is
+left out, so one such round is enough.
 
 Defined results: null texts are empty; texts without words equal only texts with the same
 characters; texts of one to four words have one shingle; a null id is an ordinary row and the
@@ -34,8 +36,10 @@ from rippleframe.llm.common import fold_words, materialize, slices
 SHINGLE = 5
 THRESHOLD = 0.8
 BANDS, ROWS = 32, 5
-PIVOTS = 8  # nodes of a bucket that all its other classes are compared with
-WHOLE = 16  # up to this size, all classes of a bucket are compared node by node
+PIVOTS = 2  # nodes of a bucket that all others meet first
+WHOLE = 16  # up to this size, all classes of a bucket are compared pair by pair, beyond it by blocks
+BLOCK = 2_000_000  # bytes of text in a block
+COMMON = 32  # shingles of more nodes are counted by matrix products, the others by their pairs
 CHUNK = 6_000_000  # bytes at a time
 WORD_LIMIT = 1_000_000  # entries of the word hash table of a worker process
 _A, _B, _C = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
@@ -184,6 +188,89 @@ def _verify(threshold: float):
     return run
 
 
+def _shared(at: np.ndarray, col: np.ndarray, mass: np.ndarray, left: np.ndarray, right: np.ndarray, n_cols: int) -> tuple[np.ndarray, np.ndarray]:
+    """For each left and right node their masses on the shingles that both hold. Entries (at, col,
+    mass) are in order of at."""
+    x, y = (np.zeros((len(left), len(right)), np.float32) for _ in "xy")
+    held = np.bincount(col, minlength=n_cols)
+    common = np.flatnonzero(held > COMMON)
+
+    def entries(nodes):
+        a, b = np.searchsorted(at, nodes), np.searchsorted(at, nodes, "right")
+        take = np.repeat(a - np.append(0, np.cumsum(b - a)[:-1]), b - a) + np.arange((b - a).sum())
+        return np.repeat(np.arange(len(nodes)), b - a), col[take], mass[take]
+
+    (li, lc, lm), (ri, rc, rm) = entries(left), entries(right)
+    for k in range(0, len(common), 1024):
+        place = np.full(n_cols, -1)
+        place[common[k : k + 1024]] = np.arange(len(common[k : k + 1024]))
+        p, q = (np.zeros((n, len(common[k : k + 1024])), np.float32) for n in (len(left), len(right)))
+        a, b = place[lc] >= 0, place[rc] >= 0
+        p[li[a], place[lc[a]]], q[ri[b], place[rc[b]]] = lm[a], rm[b]
+        x += p @ (q > 0).T.astype(np.float32)
+        y += (p > 0).astype(np.float32) @ q.T
+    a, b = held[lc] <= COMMON, held[rc] <= COMMON
+    li, lc, lm, ri, rc, rm = li[a], lc[a], lm[a], ri[b], rc[b], rm[b]
+    order = np.argsort(rc, kind="stable")
+    ri, rc, rm = ri[order], rc[order], rm[order]
+    a, b = np.searchsorted(rc, lc), np.searchsorted(rc, lc, "right")
+    one = np.repeat(np.arange(len(lc)), b - a)
+    two = np.repeat(a - np.append(0, np.cumsum(b - a)[:-1]), b - a) + np.arange(len(one)) if len(lc) else one
+    cell = li[one] * len(right) + ri[two]
+    for out, m in ((x, lm[one]), (y, rm[two])):
+        out += np.bincount(cell, m, x.size).reshape(x.shape).astype(np.float32)
+    return x, y
+
+
+def _links(threshold: float):
+    """Of two blocks the links at the threshold between left and right nodes of different classes, as
+    many as connect what they connect."""
+
+    def run(rows: pa.Table) -> pa.Table:
+        place: dict[bytes, int] = {}
+        names, kinds, texts, sides = (rows[c].to_pylist() for c in ("node", "class", "text", "is_left"))
+        at = np.array([place.setdefault(n, len(place)) for n in names])
+        first = np.unique(at, return_index=True)[1]
+        label = np.unique(np.array([int.from_bytes(kinds[i]) for i in first], object), return_inverse=True)[1]
+        doc, code = [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)]
+        for a, b in slices([len(texts[i]) for i in first], BLOCK // 2):
+            d, c = shingles([fold_words(texts[i].encode()) for i in first[a:b]])
+            doc.append(d + a), code.append(c)
+        doc, code = np.concatenate(doc), np.concatenate(code)
+        order = np.lexsort((code, doc))
+        doc, code = doc[order], code[order]
+        start = np.searchsorted(doc, np.arange(len(place) + 1))
+        new = np.flatnonzero(np.append(True, (doc[1:] != doc[:-1]) | (code[1:] != code[:-1])))
+        mass, total = np.diff(np.append(new, len(doc))), np.diff(start).astype(float)
+        _, col, held = np.unique(code[new], return_inverse=True, return_counts=True)
+        many = held[col] > 1
+        of, col, mass = doc[new][many], (np.cumsum(held > 1) - 1)[col[many]], mass[many].astype(np.float32)
+        side = np.array(sides)
+        left, right = np.unique(at[side]), np.unique(at[~side])
+        found = []
+        for k in range(0, len(left), 128):
+            part = left[k : k + 128]
+            x, y = _shared(of, col, mass, part, right, int((held > 1).sum()))
+            with np.errstate(divide="ignore"):
+                # concave and homogeneous in (x, y), so the sum over shingles is at most this value of their sums
+                bound = 1 / (total[part][:, None] / x + total[right] / y - 1)
+            i, j = np.nonzero((bound >= threshold - 1e-6) & (label[part][:, None] != label[right]))
+            best = np.argsort(-bound[i, j], kind="stable")
+            i, j = part[i[best]], right[j[best]]
+            while len(i):
+                step = max(64, len(i) // 16)
+                for a, b in zip(i[:step], j[:step]):
+                    if label[a] != label[b] and probability_jaccard(code[start[a] : start[a + 1]], code[start[b] : start[b + 1]]) >= threshold:
+                        label[label == label[b]] = label[a]
+                        found.append((names[first[a]], names[first[b]]))
+                i, j = i[step:], j[step:]
+                apart = label[i] != label[j]
+                i, j = i[apart], j[apart]
+        return pa.table({"a": pa.array([min(f) for f in found], pa.binary()), "b": pa.array([max(f) for f in found], pa.binary())})
+
+    return run
+
+
 def components(links: DataFrame) -> DataFrame:
     """(node, class): the smallest node that is connected to each node of links (a, b)."""
     both = materialize(links.select("a", "b").union(links.select("b", "a")).distinct())
@@ -224,30 +311,35 @@ def find_classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     def ordered(pairs: DataFrame) -> DataFrame:
         return pairs.filter("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
 
-    first = members.join(pivots.filter("r <= 2"), "bucket")
+    def across(spots: DataFrame) -> DataFrame:
+        """Links of apart nodes (left) with all nodes (right) of their buckets. The nodes that have the same largest bucket are dealt into blocks."""
+        size = texts.select("node", F.octet_length("text").alias("size"))
+        homes = spots.groupBy("node").agg(F.first("class").alias("class"), F.max(F.struct("n", "bucket"))["bucket"].alias("home"), F.max("apart").alias("apart")).join(size, "node")
+        counts = homes.groupBy("home").agg(*(F.ceil((F.sum(v) + 1) / BLOCK).alias(k) for k, v in (("n_right", F.col("size")), ("n_left", F.when(F.col("apart"), F.col("size")).otherwise(0)))))
+        block = lambda k: F.xxhash64("home", F.pmod(F.xxhash64("node"), k))
+        homes = materialize(homes.join(counts, "home").select("node", "class", block("n_left").alias("left"), block("n_right").alias("right")))
+        spots = spots.select("bucket", "node", "apart").join(homes.drop("class"), "node")
+        met = spots.groupBy("bucket").agg(F.collect_set(F.when(F.col("apart"), F.col("left"))).alias("lefts"), F.collect_set("right").alias("rights"))  # blocks, not nodes
+        spots = materialize(spots.join(met, "bucket"))
+        every = lambda c: F.explode(F.array_distinct(F.flatten(F.collect_set(c))))
+        sent = spots.groupBy("node", "right").agg(every("lefts").alias("left")).select("node", "left", "right", F.lit(False).alias("is_left"))
+        sent = sent.unionByName(spots.filter("apart").groupBy("node", "left").agg(every("rights").alias("right")).select("node", "left", "right", F.lit(True).alias("is_left")))
+        full = sent.join(homes.select("node", "class"), "node").join(texts.select("node", "text"), "node")
+        return materialize(full.groupBy("left", "right").applyInArrow(_links(threshold), "a binary, b binary"))
+
+    first = members.join(pivots, "bucket")
     done = tested(ordered(first.select("x", F.col("node").alias("y"))))
     classes = components(done.filter("linked"))
-    while True:
-        of = classes.select("node", "class")
-        placed = members.join(of, "node", "left").withColumn("class", F.coalesce("class", "node"))
-        heads = pivots.join(of.withColumnRenamed("node", "x"), "x", "left").withColumn("other", F.coalesce("class", "x")).drop("class")
-        main = heads.filter("r = 1").select("bucket", F.col("other").alias("main"))
-        placed = materialize(placed.join(main, "bucket"))
-        apart = placed.filter("class <> main").select("bucket", "n", "class", F.col("node").alias("y"))
-        listed = heads.groupBy("bucket").agg(F.collect_list(F.struct("x", "other")).alias("heads"))  # at most PIVOTS
-        met = apart.join(listed, "bucket").groupBy("y", "class").agg(F.array_distinct(F.flatten(F.collect_list("heads"))).alias("heads"))  # of at most BANDS lists
-        with_heads = met.select("y", "class", F.explode("heads").alias("h")).filter("class <> h.other").select(F.col("h.x").alias("x"), "y")
-        small = placed.filter(F.col("n") <= WHOLE).select("bucket", F.col("node").alias("x"), F.col("class").alias("other"))
-        with_all = apart.filter(F.col("n") <= WHOLE).join(small, "bucket").filter("class <> other").select("x", "y")
-        pairs = ordered(with_heads.unionByName(with_all))
-        pairs = materialize(pairs.join(done.select("a", "b"), ["a", "b"], "left_anti"))
-        if not pairs.limit(1).count():
-            break
-        more = tested(pairs)
-        done = done.unionByName(more)
-        if not more.filter("linked").limit(1).count():
-            break
-        classes = components(done.filter("linked"))
+    of = classes.select("node", "class")
+    placed = members.join(of, "node", "left").withColumn("class", F.coalesce("class", "node"))
+    main = pivots.filter("r = 1").select("bucket", F.col("x").alias("node")).join(of, "node", "left").select("bucket", F.coalesce("class", "node").alias("main"))
+    placed = placed.join(main, "bucket").withColumn("apart", F.col("class") != F.col("main"))
+    placed = materialize(placed.join(placed.filter("apart").select("bucket").distinct(), "bucket", "left_semi").drop("main"))
+    small = placed.filter(F.col("n") <= WHOLE)
+    pairs = small.filter("apart").select("bucket", F.col("class").alias("other"), F.col("node").alias("x")).join(small.select("bucket", "class", F.col("node").alias("y")), "bucket").filter("class <> other")
+    pairs = ordered(pairs.select("x", "y")).join(done.select("a", "b"), ["a", "b"], "left_anti")
+    links = done.filter("linked").select("a", "b").unionByName(tested(pairs).filter("linked").select("a", "b"))
+    classes = components(links.unionByName(across(placed.filter(F.col("n") > WHOLE))))
     named = signed.select("id", "node").join(classes, "node", "left").withColumn("class", F.coalesce("class", "node"))
     named = materialize(named)
     least = named.groupBy("class").agg(F.min("id").alias("class_id"))

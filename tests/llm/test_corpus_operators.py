@@ -72,6 +72,41 @@ def test_near_duplicate_classes(spark):
     assert kept.columns == df.columns and sorted(r["doc_id"] for r in kept.collect()) == sorted(set(got.values()))
 
 
+def test_near_duplicates_around_a_large_group(spark):
+    """Copies of one text with an edit each, and around them texts that are at 0.8 or more to one copy
+    only, which is none of the central ones."""
+    rng, base = random.Random(3), [f"w{i}" for i in range(104)]
+    texts, edits = [], iter(range(1_000_000))
+
+    def edited(words, places):
+        return [f"e{next(edits)}" if i in places else w for i, w in enumerate(words)]
+
+    for _ in range(2000):
+        texts.append(edited(base, {rng.randrange(5, 20)}))
+    for i in range(400):
+        texts.append(edited(texts[i], {rng.randrange(30, 45), rng.randrange(60, 75)}))
+    for i in range(100):  # two far from the group and near each other, or not
+        texts.append(edited(base, {25, 35, 45, 55}))
+        texts.append(edited(texts[-1], {65, 75} if i % 2 else {65, 75, 85}))
+    place: dict = {}
+    held = [[place.setdefault(tuple(t[i : i + 5]), len(place)) for i in range(100)] for t in texts]
+    grid = np.zeros((len(texts), len(place)), np.float32)
+    for i, h in enumerate(held):
+        grid[i, h] = 1
+    shared = grid @ grid.T
+    near = shared / (200 - shared) >= 0.8
+    want = np.full(len(texts), -1)
+    for i in range(len(texts)):
+        open_ = [i] if want[i] < 0 else []
+        while open_:
+            at = open_.pop()
+            if want[at] < 0:
+                want[at] = i
+                open_ += list(np.flatnonzero(near[at] & (want < 0)))
+    got = {r["doc_id"]: r["class_id"] for r in near_dedup.find_classes(frame(spark, [" ".join(t) for t in texts])).collect()}
+    assert len(set(want)) > 50 and [i for i in range(len(texts)) if got[i] != want[i]] == []
+
+
 def test_near_duplicates_of_odd_tables(spark):
     assert len(near_dedup.find_classes(odd(spark)).collect()) == len(ODD)
     assert near_dedup.find_classes(empty(spark)).collect() == []
