@@ -164,7 +164,7 @@ def _sign(batches):
 
 def _rehash(batches):
     for batch in batches:
-        texts = [t or "" for t in batch.column(2).to_pylist()]
+        texts = [t or "" for t in batch.column(1).to_pylist()]
         same = [_node(fold_words(t.encode()), t) == n for t, n in zip(texts, batch.column(0).to_pylist())]
         yield batch.filter(pa.array(same, pa.bool_()))
 
@@ -182,7 +182,7 @@ def _verify(threshold: float):
 
         for batch in batches:
             c = [x.to_pylist() for x in batch.columns]
-            close = [len(set(p) & set(q)) >= 2 and probability_jaccard(of(a, s), of(b, t)) >= threshold for a, b, p, q, s, t in zip(*c)]
+            close = [probability_jaccard(of(a, s), of(b, t)) >= threshold for a, b, s, t in zip(*c)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(close, pa.bool_())], ["a", "b", "linked"])
 
     return run
@@ -299,13 +299,13 @@ def find_classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     best = Window.partitionBy("bucket").orderBy(F.desc("central"), "node")
     pivots = members.join(central, "node").withColumn("r", F.row_number().over(best)).filter(F.col("r") <= PIVOTS)
     pivots = materialize(pivots.select("bucket", F.col("node").alias("x"), "r"))
-    wanted = nodes.join(members.select("node").distinct(), "node").select("node", "bands", F.col("id").alias("at"))
-    texts = wanted.join(rows, F.col("at").eqNullSafe(rows["id"])).select("node", "bands", "text")
+    wanted = nodes.join(members.select("node").distinct(), "node").select("node", F.col("id").alias("at"))
+    texts = wanted.join(rows, F.col("at").eqNullSafe(rows["id"])).select("node", "text")
     texts = materialize(texts.mapInArrow(_rehash, texts.schema).dropDuplicates(["node"]))
 
     def tested(pairs: DataFrame) -> DataFrame:
-        x, y = (texts.select(F.col("node").alias(n), F.col("bands").alias(f"{n}_bands"), F.col("text").alias(f"{n}_text")) for n in "ab")
-        full = pairs.join(y, "b").join(x, "a").select("a", "b", "a_bands", "b_bands", "a_text", "b_text")
+        x, y = (texts.select(F.col("node").alias(n), F.col("text").alias(f"{n}_text")) for n in "ab")
+        full = pairs.join(y, "b").join(x, "a").select("a", "b", "a_text", "b_text")
         return materialize(full.mapInArrow(_verify(threshold), "a binary, b binary, linked boolean"))
 
     def ordered(pairs: DataFrame) -> DataFrame:

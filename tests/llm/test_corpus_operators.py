@@ -72,6 +72,15 @@ def test_near_duplicate_classes(spark):
     assert kept.columns == df.columns and sorted(r["doc_id"] for r in kept.collect()) == sorted(set(got.values()))
 
 
+def test_near_duplicates_that_share_one_band(spark):
+    text = "t243468049 t838499744 t267055762 t240207281 t965506886 t502617603 t238654213 t358007783 t788840317 t899459021 t402683204 t646059298 t492954185"
+    texts = [text, text.rsplit(" ", 1)[0] + " x"]
+    docs = [t.encode().split() for t in texts]
+    a, b = near_dedup.bands(near_dedup.signatures(docs))
+    assert (a == b).sum() == 1 and near_dedup.probability_jaccard(*(near_dedup.shingles([d])[1] for d in docs)) >= 0.8
+    assert {r["class_id"] for r in near_dedup.find_classes(frame(spark, texts)).collect()} == {0}
+
+
 def test_near_duplicates_around_a_large_group(spark):
     """Copies of one text with an edit each, and around them texts that are at 0.8 or more to one copy
     only, which is none of the central ones."""
