@@ -23,6 +23,11 @@ def _bounded(df: DataFrame, most: int) -> pa.Table | None:
     return got if got.num_rows <= most else None
 
 
+def _whole(edges: DataFrame) -> DataFrame:
+    """Edges with both ends: a null is no node, on the driver as in the distributed loop."""
+    return edges.filter("dependent is not null and dependency is not null")
+
+
 def _adjacency(table: pa.Table, start: str, end: str) -> dict:
     out: dict = {}
     for a, b in zip(table[start].to_pylist(), table[end].to_pylist()):
@@ -92,6 +97,7 @@ def reverse_closure(edges: DataFrame, seeds: DataFrame, max_rounds: int | None =
 
     Level-synchronous: only the newest pairs are joined with the edges, and pairs seen before are
     dropped, so cycles end. `seeds` has column `node`."""
+    edges = _whole(edges)
     start = seeds.select("node").filter("node is not null").distinct()
     small = _bounded(edges.select("dependency", "dependent").distinct(), LOCAL_EDGES) if max_rounds is None else None
     first = _bounded(start, LOCAL_SEEDS) if small is not None else None
@@ -117,6 +123,7 @@ def reverse_closure(edges: DataFrame, seeds: DataFrame, max_rounds: int | None =
 def shortest_paths(edges: DataFrame, pairs: DataFrame) -> DataFrame:
     """(changed, affected, path): of the shortest paths from affected down to changed the least in
     node order; pairs without a path are absent. `pairs` has changed, affected."""
+    edges, pairs = _whole(edges), pairs.filter("changed is not null and affected is not null")
     small = _bounded(edges.select("dependent", "dependency").distinct(), LOCAL_EDGES)
     asked = _bounded(pairs.select("changed", "affected").distinct(), LOCAL_SEEDS) if small is not None else None
     if asked is not None:

@@ -116,3 +116,12 @@ def test_resolution_rules(spark):
         0: (["p", "p.a"], "resolved"), 1: (["p", "p.a"], "resolved"), 2: ([], "invalid_relative_import"), 3: ([], "invalid_relative_import"), 4: ([], "unresolved_dynamic_import"), 5: (["p", "p.a"], "resolved"),
         6: (["p", "p.q.b"], "resolved"), 7: (["p", "p.a"], "resolved"), 8: (["p", "p.a"], "resolved"), 9: (["p"], "resolved"),
     }
+
+
+def test_null_ends_are_no_nodes_on_either_path(spark, monkeypatch):
+    edges = spark.createDataFrame([(1, 0), (None, 1), (2, None), (3, 1)], "dependent int, dependency int")
+    seeds, asked = spark.createDataFrame([(0,)], "node int"), spark.createDataFrame([(0, 2), (0, 3), (0, None)], "changed int, affected int")
+    for most in (graph.LOCAL_EDGES, 0):
+        monkeypatch.setattr(graph, "LOCAL_EDGES", most)
+        assert sorted(tuple(r) for r in reverse_closure(edges, seeds).collect()) == [(0, 1), (0, 3)]
+        assert [(r["affected"], r["path"]) for r in shortest_paths(edges, asked).collect()] == [(3, [3, 1, 0])]
