@@ -188,6 +188,63 @@ def test_toxicity_learns_words_and_defines_the_rest(spark):
     assert toxicity.score(docs.filter("false"), none).collect() == []
 
 
+def dense_fit(x, y, penalty):
+    """Plain Newton steps on a dense matrix whose last column is the intercept."""
+    w, n = np.zeros(x.shape[1]), len(y)
+    cost = np.append(np.full(x.shape[1] - 1, penalty), 0)
+    for _ in range(200):
+        p = 1 / (1 + np.exp(-x @ w))
+        step = np.linalg.solve((x.T * (p * (1 - p) / n)) @ x + np.diag(cost + 1e-14), x.T @ (p - y) / n + cost * w)
+        w -= step * min(1, 2 / np.abs(step).max())
+    return w
+
+
+def test_toxicity_weights_by_definition_and_by_ratio():
+    rng = np.random.default_rng(4)
+    on, y = rng.random((150, 12)) < 0.4, (rng.random(150) < 0.4).astype(float)
+    doc, feature = np.nonzero(on)
+    found = []
+    for ratio in (rng.normal(size=12) * 3, np.ones(12)):
+        w, b = toxicity.fit_weights(doc, feature, y, ratio, 0.01)
+        scaled = ratio / np.sqrt((ratio**2).mean())
+        want = dense_fit(np.column_stack([on * scaled, np.ones(150)]), y, 0.01)
+        assert np.allclose(w, want[:-1] * scaled, atol=1e-5) and b == pytest.approx(want[-1], abs=1e-5)
+        found.append(on @ w + b)
+    assert np.abs(found[0] - found[1]).max() > 0.1  # other ratios, other scores
+
+
+def test_toxicity_scores_by_definition(spark):
+    """Ratios, features and scores of a small corpus against a direct computation."""
+    rng = random.Random(7)
+    words = ["red", "tulip", "moor", "vile"]
+    rows = [(i, " ".join(rng.choice(words) for _ in range(3)).title()) for i in range(60)]
+    y = np.array([int("Vile" in t) for _, t in rows])
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    weights, bias = toxicity.fit(docs, spark.createDataFrame([(i, int(v)) for i, v in enumerate(y)], "doc_id long, toxic int"))
+    held = []
+    for _, t in rows:
+        folded = f" {t.lower()} "
+        held.append({folded[i : i + n] for n in toxicity.SIZES for i in range(len(folded) - n + 1)})
+    grams = sorted(set().union(*held))
+    x = np.array([[g in h for g in grams] for h in held], float)
+    one, none = x[y == 1].sum(0), x[y == 0].sum(0)
+    mass = 1 << toxicity.BITS
+    ratio = np.log((one + 1) / (one.sum() + mass)) - np.log((none + 1) / (none.sum() + mass))
+    ratio /= np.sqrt((ratio**2).mean())
+    want = dense_fit(np.column_stack([x * ratio, np.ones(60)]), y, toxicity.PENALTY)
+    got = {r["doc_id"]: r["score"] for r in toxicity.score(docs, (weights, bias)).collect()}
+    assert len(grams) < toxicity.FEATURES
+    assert np.allclose([got[i] for i in range(60)], 1 / (1 + np.exp(-(np.column_stack([x * ratio, np.ones(60)]) @ want))), atol=2e-3)
+
+
+def test_toxicity_of_very_long_texts():
+    weights = np.zeros(1 << toxicity.BITS)
+    texts = [" vile ", " " + "calm tulip " * 60_000 + "vile "]
+    _, bucket = toxicity.present([" vile "])
+    weights[bucket] = 1.0
+    assert toxicity.scores(texts, weights, -1.0).min() > 0.5 and len(texts[1]) > toxicity.CHUNK
+
+
 # -- mixing --------------------------------------------------------------------------------------
 
 
