@@ -365,14 +365,49 @@ def test_lm_blocks_and_odd_tables(spark, monkeypatch):
 # -- nearest neighbours --------------------------------------------------------------------------
 
 
-def test_codes_within_a_radius_are_all_found():
+@pytest.mark.parametrize("split", [2, 3, 8])
+def test_codes_within_a_radius_are_all_found(split):
     rng = np.random.default_rng(4)
     v = rng.normal(size=(400, 32))
-    codes = nearest.Codes(v, 5)
-    index = nearest.BucketIndex(codes, v)
-    for radius in (0, 3, 7, 12, 32):
-        for c in index.code[:10]:
-            assert list(index.within(c, radius)) == [i for i, x in enumerate(index.code) if int(x ^ c).bit_count() <= radius]
+    codes = nearest.Codes(v, 5, split)
+    for radius in (0, 1, 3, 7, 12, 32):
+        codes.radius = radius
+        segment = nearest.Segment.of(codes, np.arange(400), v)
+        for c in segment.code[:10]:
+            assert list(segment.within(c)) == [i for i, x in enumerate(segment.code) if int(x ^ c).bit_count() <= radius]
+
+
+def test_values_near_a_substring():
+    for width, near in ((5, 0), (5, 2), (7, 3), (3, 9)):
+        want = [x for x in range(1 << width) if x.bit_count() <= near]
+        assert nearest.ball(width, near).tolist() == want and nearest.ball_size(width, near) == len(want)
+
+
+def test_neighbours_do_not_depend_on_how_rows_are_dealt(spark, monkeypatch):
+    rng = np.random.default_rng(6)
+    centre = rng.normal(size=(40, 16)) * 3
+    v = centre[rng.integers(0, 40, 900)] + rng.normal(size=(900, 16))
+    df = spark.createDataFrame([(i, [float(x) for x in r]) for i, r in enumerate(v)], "vec_id long, embedding array<double>")
+    ask = df.filter("vec_id % 100 = 0")
+    one = sorted(map(tuple, nearest.search(df.coalesce(1), ask).collect()))
+    monkeypatch.setattr(nearest, "SEGMENT_BYTES", 8 * 16 * 50)
+    monkeypatch.setattr(nearest, "QUERY_BYTES", 8 * 16 * 4)
+    assert len(one) == 90 and one == sorted(map(tuple, nearest.search(df.repartition(17), ask).collect()))
+    share = nearest.probe_shares(df, ask).first()
+    assert share["n_rows"] == 900 and 0 < share["near"] <= share["probed"] <= 900 * share["n_queries"]
+
+
+def test_repeated_query_ids_count_with_their_valid_vector(spark):
+    rng = np.random.default_rng(3)
+    v = rng.normal(size=(50, 8))
+    rows = [(i, [float(x) for x in r]) for i, r in enumerate(v)]
+    bad = [(0, [0.0] * 8), (0, None), (0, [None] + [1.0] * 7), (0, [float("-inf")] * 8), (0, [-1e9] * 7), (7, [float("nan")] * 8)]
+    df = spark.createDataFrame(rows + bad, "vec_id long, embedding array<double>")
+    got = nearest.search(df, df.filter("vec_id in (0, 7)")).collect()
+    for q in (0, 7):
+        want = sorted((float(np.sqrt(((v[q] - v[i]) ** 2).sum())), i) for i in range(50) if i != q)[:10]
+        assert len([r for r in got if r["query_id"] == q]) == 10
+        assert len({i for _, i in want} & {r["vec_id"] for r in got if r["query_id"] == q}) >= 8
 
 
 def test_search_recall_and_odd_vectors(spark):
