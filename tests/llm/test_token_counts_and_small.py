@@ -52,17 +52,40 @@ def brute_licenses(text):
     return len(w), sorted(hits)
 
 
+def brute_notices(text):
+    w, hits = WORD.findall((text or "").translate(LOWER)), []
+    for label, notice, key in license_scan.NOTICES:
+        n, k = notice.split(), key.split()
+        at = next(i for i in range(len(n)) if n[i : i + len(k)] == k)
+        for start in range(-at, len(w)):
+            if w[start + at : start + at + len(k)] == k:
+                share = sum(0 <= start + i < len(w) and w[start + i] == x for i, x in enumerate(n)) / len(n)
+                if share >= license_scan.MIN_MATCH:
+                    hits.append((label, start, share))
+    return sorted(hits)
+
+
 def test_license_phrases(spark):
-    texts = ["MIT License mit license", "CC BY-NC 4.0 cc by", "under the Apache\tLicense, Version 2.0 GNU general public license", None, "", "gnu general public", "mit mit license", LONG]
-    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").selectExpr("*", "1 as words", "2 as hits", "3 as found")
+    notices = [n[1] for n in license_scan.NOTICES]
+    texts = ["MIT License mit license", "CC BY-NC 4.0 cc by", "under the Apache\tLicense, Version 2.0 GNU general public license", None, "", "gnu general public", "mit mit license", LONG, "Mit License " * 30_000]
+    texts += [f"Words before. {n.title()} and after, {n}" for n in notices] + ["x " + " ".join(n.split()[1:]) for n in notices] + [" ".join("new" if i % 9 == 1 else w for i, w in enumerate(n.split())) for n in notices]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").selectExpr("*", "1 as words", "2 as hits", "3 as found", "4 as present", "5 as id")
     got = license_scan.scan_licenses(df).collect()
+    assert len(got) == len(texts)
     for r in got:
         assert (r["n_words"], sorted(map(tuple, r["phrase_hits"]))) == brute_licenses(texts[r["doc_id"]])
+        assert sorted((x["label"], x["start"], pytest.approx(x["share"])) for x in r["notice_hits"]) == brute_notices(texts[r["doc_id"]])
     labels = {r["doc_id"]: sorted(x["label"] for x in r["notice_hits"]) for r in got}
-    assert labels[2] == ["apache-2.0"] and labels[1] == []
+    assert labels[2] == ["apache-2.0"] and labels[1] == [] and len(labels[8]) == 0
     assert license_scan.scan_licenses(df.filter("false")).collect() == []
 
 
+def test_license_index_takes_the_rarest_key_words():
+    templates = license_scan._templates({"cc by": "cc-by"}, (("n", "under the mit license the", "the mit license the"),))
+    assert license_scan.postings(templates, {"cc": 3.0, "by": 1.0, "the": 0.5, "mit": 2.0, "license": 1.0}) == [[("cc", [0]), ("by", [1])], [("mit", [2]), ("license", [3])]]
+    assert license_scan.postings(templates, {"cc": 3.0, "by": 1.0, "the": 9.0, "mit": 2.0, "license": 1.0})[1] == [("the", [1, 4]), ("mit", [2])]
+
+
 def brute_contamination(text, items):
     w, hit, found = WORD.findall((text or "").translate(LOWER)), set(), set()
     for item, t in items:
