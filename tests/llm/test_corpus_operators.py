@@ -264,26 +264,93 @@ def test_flight_keeps_both_totals(sizes, chance):
     assert p.sum() == pytest.approx(start.sum()) and (p * size).sum() == pytest.approx((start * size).sum())
 
 
-def test_mix(spark, monkeypatch):
+@settings(max_examples=50, deadline=None)
+@given(st.lists(st.integers(0, 500), min_size=1, max_size=80), st.floats(0.05, 0.95))
+def test_landing_is_near_the_tokens(sizes, chance):
+    size = np.array(sizes)
+    seed = np.random.default_rng(1).integers(0, 1 << 62, len(size)).astype(np.uint64)
+    p = mixing.land(size, np.full(len(size), chance), seed)
+    assert set(p) <= {0.0, 1.0} and abs(p @ size - chance * size.sum()) <= size.max()
+
+
+def test_inclusion_probabilities_hold():
+    """Over many seeds every document, the largest included, is taken as often as its probability says,
+    and the tokens stay near the target."""
+    import pyarrow as pa
+
+    rng = np.random.default_rng(2)
+    size, off, rounds = np.append(rng.integers(1, 80, 297), [900, 600, 400]), [], 500
+    count = np.zeros(300)
+    for _ in range(rounds):
+        seed = rng.permutation(np.arange(300)) * 10**15 + rng.integers(0, 10**15, 300)
+        out = mixing._fly(pa.table({"size": size, "chance": np.full(300, 0.3), "seed": seed, "blocks": np.ones(300, np.int64), "at": np.arange(300)}))
+        p = np.zeros(300)
+        p[out["at"].to_numpy()] = out["chance"].to_numpy()
+        count += p
+        off.append(abs(p @ size - 0.3 * size.sum()))
+    assert np.abs(count / rounds - 0.3).max() < 0.09 and abs((count / rounds).mean() - 0.3) < 0.01 and abs((count / rounds)[-3:].mean() - 0.3) < 0.05
+    assert np.median(off) <= 4 and max(off) <= 20
+
+
+def test_landing_beside_a_dominating_document():
+    rng = np.random.default_rng(5)
+    size = np.append(rng.integers(1, 600, 50), 20_000)
+    for chance in (0.2, 0.5, 0.9):
+        p = mixing.land_near(size, np.full(51, chance), rng.integers(0, 1 << 62, 51).astype(np.uint64))
+        best = min(abs(chance * size.sum() - 20_000 * k - np.clip(chance * size.sum() - 20_000 * k, 0, size[:-1].sum())) for k in (0, 1))
+        assert abs(p @ size - chance * size.sum()) <= best + 60
+
+
+def mixed_rows(n):
     rng = random.Random(2)
-    rows = [(i, " ".join(["w"] * rng.randrange(1, 60)), rng.choice("aaab") if i % 9 else None) for i in range(400)] + [(500, None, "a"), (501, "", "c"), (7, "w w", "b"), (7, "w w", "b")]
-    df = spark.createDataFrame(rows, "doc_id long, text string, source string").selectExpr("*", "1 as size", "2 as chance", "3 as block")
-    for block in (8192, 40):
+    return [(i, " ".join(["w"] * rng.randrange(1, 60)), rng.choice("aaab") if i % 9 else None) for i in range(n)]
+
+
+def test_mix(spark, monkeypatch):
+    rows = mixed_rows(400) + [(500, None, "a"), (501, "", "c"), (7, "w w", "b"), (7, "w w", "b"), (None, LONG, "a")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string").selectExpr("*", "1 as size", "2 as chance", "3 as block", "4 as c0", "5 as __n", "6 as __own")
+    for block in (8192, 192):
         monkeypatch.setattr(mixing, "BLOCK_ROWS", block)
+        monkeypatch.setattr(mixing, "JOINED", block // 64)
         out = mixing.mix(df)
         got = out.collect()
         assert len(got) == len(rows) and sum(r["size"] for r in got) == sum(len((t or "").split()) for _, t, _ in rows)
-        by = collections.defaultdict(lambda: [0, 0.0])
+        sizes = collections.Counter()
+        for _, t, s in rows:
+            sizes[s] += len((t or "").split())
+        order = sorted(sizes, key=lambda s: (s is None, s or ""))
+        goal = dict(zip([sizes[s] for s in order], mixing.set_targets([sizes[s] for s in order], [(5, 2, 1)[i % 3] for i in range(len(order))])))
+        by = collections.Counter()
         for r in got:
-            assert 0 <= r["taken"] <= 2 * r["size"]
-            by[r["source_size"]][0] += r["taken"]
-            by[r["source_size"]][1] = r["target"]
-        assert all(abs(t - g) <= 20 for t, g in by.values())
-        assert sorted(map(tuple, got), key=str) == sorted(map(tuple, mixing.mix(df).collect()), key=str)
+            assert 0 <= r["taken"] <= 2 * r["size"] and r["target"] == pytest.approx(goal[r["source_size"]])
+            by[r["source_size"]] += r["taken"]
+        big = max(len((t or "").split()) for _, t, _ in rows)
+        assert all(abs(by[s] - g) <= (20 if s < 5000 else big) for s, g in goal.items())
+        assert sorted(map(tuple, got), key=str) == sorted(map(tuple, mixing.mix(df.repartition(3)).collect()), key=str)
+    assert mixing.mix(df.filter("false")).collect() == [] and mixing.apply_mix(df.filter("false")).columns == df.columns
+
+
+def test_small_sources_land_beside_large_ones(spark):
+    rows = [(i, " ".join(["w"] * (1 + i * 7 % 50)), "a" if i < 60 else "b") for i in range(9000)]
+    got = mixing.mix(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()
+    for size in {r["source_size"] for r in got}:
+        mine = [r for r in got if r["source_size"] == size]
+        assert abs(sum(r["taken"] for r in mine) - mine[0]["target"]) <= 3
+
+
+def test_applied_mix_loses_no_row(spark):
+    """Rows equal in id and text but not in another column are different rows."""
+    rows = [(i, t, s, 0) for i, t, s in mixed_rows(200)] + [(5, "same text", "a", 1), (5, "same text", "b", 1), (5, "same text", "b", 2), (6, "twice", "b", 3), (6, "twice", "b", 3), (None, None, "z", None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, __n int").selectExpr("*", "1 as key", "2 as m", "3 as seed")
+    taken = collections.Counter()
+    keyed = df.selectExpr("*", "xxhash64(doc_id, text, source, __n, key, m, seed) as k")
+    by = {r["k"]: r for r in keyed.collect()}
+    for r in mixing.mix(keyed, key=F.col("k")).collect():
+        taken[tuple(by[r["seed"]])[:-1]] += r["copies"]
     mixed = mixing.apply_mix(df)
-    assert mixed.columns == df.columns
-    assert mixed.agg(F.sum(F.size(F.split("text", " ")))).first()[0] == pytest.approx(sum(r["taken"] for r in got), abs=10)
-    assert mixing.mix(df.filter("false")).collect() == []
+    got = collections.Counter(map(tuple, mixed.collect()))
+    assert mixed.columns == df.columns and got == +taken
+    assert len({k for k in by}) == len(rows) - 1
 
 
 # -- language model ------------------------------------------------------------------------------
