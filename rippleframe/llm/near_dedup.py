@@ -16,10 +16,15 @@ masses of the shared shingles bound the similarity from above, and only pairs wh
 reaches the threshold and that are not yet in one class are verified. No pair of a bucket is
 left out, so one such round is enough.
 
+Every row has a key, a hash of its id and text, under which its text is fetched again, and a
+number that tells equal rows apart; ids may be null or repeated. Of each class one row is kept.
+
 Defined results: null texts are empty; texts without words equal only texts with the same
-characters; texts of one to four words have one shingle; a null id is an ordinary row and the
-class takes its smallest non-null id; repeated rows fall in one class; an empty table gives
-no rows; other columns are not read.
+characters; texts of one to four words have one shingle; texts of any length are compared
+whole; a null id is an ordinary row and the class takes its smallest non-null id, null where
+it has none; repeated rows fall in one class, of which one row is kept (the smallest id, nulls
+last; among rows of that id the first in the table as read); an empty table gives no rows;
+other columns, whatever their names, are not read.
 """
 
 from __future__ import annotations
@@ -28,7 +33,8 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from rippleframe.llm.common import fold_words, materialize, slices
@@ -143,8 +149,9 @@ def _node(words: list[bytes], text: str) -> bytes:
 
 def _sign(batches):
     seen: set[bytes] = set()
+    at = TaskContext.get().partitionId() << 33
     for batch in batches:
-        texts = [t or "" for t in batch.column(1).to_pylist()]
+        texts = [t or "" for t in batch.column(2).to_pylist()]
         for a, b in slices([len(t) for t in texts], CHUNK):
             docs = [fold_words(t.encode()) for t in texts[a:b]]
             nodes = [_node(d, t) for d, t in zip(docs, texts[a:b])]
@@ -159,7 +166,9 @@ def _sign(batches):
                     found[i] = row
             if len(seen) > 200_000:
                 seen.clear()
-            yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(nodes, pa.binary()), pa.array(found, pa.list_(pa.int64()))], ["id", "node", "bands"])
+            number = pa.array(np.arange(at, at + b - a))
+            at += b - a
+            yield pa.RecordBatch.from_arrays([number, batch.column(0).slice(a, b - a), batch.column(1).slice(a, b - a), pa.array(nodes, pa.binary()), pa.array(found, pa.list_(pa.int64()))], ["row", "id", "key", "node", "bands"])
 
 
 def _rehash(batches):
@@ -286,11 +295,12 @@ def components(links: DataFrame) -> DataFrame:
 
 
 def find_classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
-    """`id_col`, node (its word sequence), class_id (the smallest id of its class) for each row."""
+    """`id_col`, key (of id and text), node (its word sequence), class, class_id (the smallest id of its
+    class) and kept (true for one row of each class) for each row."""
     kind = df.schema[id_col].dataType.simpleString()
-    rows = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    signed = materialize(rows.mapInArrow(_sign, f"id {kind}, node binary, bands array<long>"))
-    nodes = signed.filter("bands is not null").groupBy("node").agg(F.first("bands").alias("bands"), F.min("id").alias("id"))
+    rows = df.select(F.col(id_col).alias("id"), row_key(id_col, text_col).alias("key"), F.col(text_col).alias("text"))
+    signed = materialize(rows.mapInArrow(_sign, f"row long, id {kind}, key long, node binary, bands array<long>"))
+    nodes = signed.filter("bands is not null").groupBy("node").agg(F.first("bands").alias("bands"), F.min("key").alias("key"))
     nodes = materialize(nodes)
     rows_of = nodes.select("node", F.explode("bands").alias("bucket"))
     shared = rows_of.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1")
@@ -299,8 +309,8 @@ def find_classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     best = Window.partitionBy("bucket").orderBy(F.desc("central"), "node")
     pivots = members.join(central, "node").withColumn("r", F.row_number().over(best)).filter(F.col("r") <= PIVOTS)
     pivots = materialize(pivots.select("bucket", F.col("node").alias("x"), "r"))
-    wanted = nodes.join(members.select("node").distinct(), "node").select("node", F.col("id").alias("at"))
-    texts = wanted.join(rows, F.col("at").eqNullSafe(rows["id"])).select("node", "text")
+    wanted = nodes.join(members.select("node").distinct(), "node").select("node", "key")
+    texts = wanted.join(rows.select("key", "text"), "key").select("node", "text")
     texts = materialize(texts.mapInArrow(_rehash, texts.schema).dropDuplicates(["node"]))
 
     def tested(pairs: DataFrame) -> DataFrame:
@@ -340,23 +350,27 @@ def find_classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     pairs = ordered(pairs.select("x", "y")).join(done.select("a", "b"), ["a", "b"], "left_anti")
     links = done.filter("linked").select("a", "b").unionByName(tested(pairs).filter("linked").select("a", "b"))
     classes = components(links.unionByName(across(placed.filter(F.col("n") > WHOLE))))
-    named = signed.select("id", "node").join(classes, "node", "left").withColumn("class", F.coalesce("class", "node"))
+    named = signed.select("row", "id", "key", "node").join(classes, "node", "left").withColumn("class", F.coalesce("class", "node"))
     named = materialize(named)
-    least = named.groupBy("class").agg(F.min("id").alias("class_id"))
-    return named.join(least, "class").select(F.col("id").alias(id_col), "node", "class", "class_id")
+    first = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "row"))
+    shared = named.groupBy("class").agg(F.count("*").alias("n"), first.alias("first")).filter("n > 1")  # written, so that a large class can be split in the join
+    shared = materialize(shared.select("class", F.col("first.id").alias("class_id"), F.col("first.row").alias("kept")))
+    named = named.join(shared, "class", "left")
+    alone = F.col("kept").isNull()
+    return named.select(F.col("id").alias(id_col), "key", "node", "class", F.when(alone, F.col("id")).otherwise(F.col("class_id")).alias("class_id"), (alone | (F.col("kept") == F.col("row"))).alias("kept"))
 
 
-def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
-    """One row of each class, all columns kept: of its smallest id, where that has several texts the
-    smallest node's."""
-    found = find_classes(df, id_col, text_col, threshold)
-    keep = found.filter(F.col(id_col).eqNullSafe(F.col("class_id"))).groupBy("class").agg(F.min("node").alias("__node"), F.first(id_col).alias("__id"))
-    rows = df.join(keep.select("__id", "__node"), F.col(id_col).eqNullSafe(F.col("__id"))).drop("__id")
+def row_key(id_col: str, text_col: str) -> Column:
+    return F.xxhash64(F.col(id_col), F.coalesce(F.col(text_col), F.lit("")))
 
-    def same(batches):
-        for batch in batches:
-            texts = [t or "" for t in batch.column(text_col).to_pylist()]
-            hit = [_node(fold_words(t.encode()), t) == n for t, n in zip(texts, batch.column("__node").to_pylist())]
-            yield batch.filter(pa.array(hit, pa.bool_()))
 
-    return rows.mapInArrow(same, rows.schema).dropDuplicates(["__node"]).drop("__node")
+def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
+    """One row of each class, all columns kept: that of its smallest id; of rows that are equal in id and
+    text any one."""
+    names = df.columns
+    rows = df.toDF(*[f"c{i}" for i in range(len(names))])
+    own, text = (f"c{names.index(c)}" for c in (id_col, text_col))
+    keep = find_classes(rows, own, text, threshold).filter("kept").select("key", F.col(own).alias("id"))
+    rows = rows.withColumn("own", row_key(own, text))
+    rows = rows.join(keep, (F.col("own") == F.col("key")) & F.col(own).eqNullSafe(F.col("id"))).dropDuplicates(["key", "id"])
+    return rows.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(names)])

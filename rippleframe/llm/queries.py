@@ -24,7 +24,7 @@ def shard(docs: DataFrame) -> DataFrame:
 
 def op3_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = near_dedup.find_classes(table(spark, sf_dir, "documents"))
-    return out.select("doc_id", "class_id", (F.col("doc_id") == F.col("class_id")).alias("kept"))
+    return out.select("doc_id", "class_id", "kept")
 
 
 def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -118,10 +118,27 @@ def test_near_duplicates_around_a_large_group(spark):
 
 def test_near_duplicates_of_odd_tables(spark):
     assert len(near_dedup.find_classes(odd(spark)).collect()) == len(ODD)
-    assert near_dedup.find_classes(empty(spark)).collect() == []
+    assert near_dedup.find_classes(empty(spark)).collect() == [] == near_dedup.keep_one(empty(spark)).collect()
     assert len(near_dedup.keep_one(odd(spark)).collect()) == 5
 
 
+def test_one_row_of_each_class_is_kept(spark):
+    """Null and repeated ids, several texts of an id, rows equal in everything, and clashing names."""
+    a, b = " ".join(f"w{i}" for i in range(60)), " ".join(f"v{i}" for i in range(60))
+    rows = [(7, a), (7, a), (7, b), (None, b), (None, b + " end"), (None, "lone words of no id"), (None, "lone words of no id"), (8, a + " end"), (None, None), (3, None)] + [(None, f"{i} other {i}") for i in range(30)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "1 as __node", "2 as __id", "3 as c0", "4 as key", "5 as own", "6 as row")
+    got = near_dedup.find_classes(df).collect()
+    by = collections.defaultdict(list)
+    for r in got:
+        by[r["class"]].append(r)
+    assert len(got) == len(rows) and all(sum(r["kept"] for r in c) == 1 for c in by.values())
+    ids = {tuple(sorted(str(r["doc_id"]) for r in c)): {r["class_id"] for r in c} for c in by.values()}
+    assert ids[("7", "7", "8")] == {7} == ids[("7", "None", "None")] and ids[("3", "None")] == {3} and ids[("None", "None")] == {None}
+    kept = near_dedup.keep_one(df)
+    assert kept.columns == df.columns and kept.count() == len(by)
+    assert collections.Counter((r["doc_id"], r["key"]) for r in kept.collect())[7, 4] == 2
+
+
 # -- repeated strings ----------------------------------------------------------------------------
 
 
