@@ -16,12 +16,25 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
 
+SHARDS = 40
+
+
+def old_shard() -> Column:
+    """The layout that the documents come from: 40 shards, all in use, of sizes from two thirds of the
+    mean to over three times it (the table names no layout, so a row's hash does)."""
+    share = F.pmod(F.xxhash64("doc_id", "source", F.crc32(F.encode(F.coalesce("text", F.lit("")), "UTF-8"))), F.lit(1_000_003)) / 1_000_003
+    return F.floor(F.pow(share, F.lit(1.5)) * SHARDS).cast("int")
+
+
 def shard(docs: DataFrame) -> DataFrame:
-    """Old shards: 40, each source whole in one of them by its hash."""
-    out = resharding.reshard(docs, F.pmod(F.xxhash64("source"), F.lit(40)), 40)
+    out = resharding.reshard(docs, old_shard(), SHARDS)
     return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "old_shard")
 
 
+def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shard(table(spark, sf_dir, "documents"))
+
+
 def op3_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = near_dedup.find_classes(table(spark, sf_dir, "documents"))
     return out.select("doc_id", "class_id", "kept")
@@ -33,10 +46,6 @@ def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), "kept_sha256")
 
 
-def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return shard(table(spark, sf_dir, "documents"))
-
-
 def remainder(mod: int, col: str = "doc_id") -> Column:
     return F.crc32(F.encode(F.coalesce(F.col(col).cast("string"), F.lit("")), "UTF-8")) % mod
 

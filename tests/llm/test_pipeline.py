@@ -55,9 +55,27 @@ def test_stages(spark, tmp_path):
     for r in kept["sharding"]:
         shards[r["shard"]] += r["size"]
     assert len(kept["sharding"]) == sum(mixed.values()) and max(shards.values()) - min(shards[i] for i in range(40)) < 1200
+    texts = lambda name: collections.Counter((r["doc_id"], r["text"], r["source"]) for r in kept[name])
+    assert texts("sharding") == texts("mixing")
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == len(kept["sharding"])
 
 
+def test_stages_of_odd_tables(spark, tmp_path):
+    """Nulls in every column, long and empty texts, repeated rows, clashing names, and no rows."""
+    corpus(spark, str(tmp_path))
+    long = "alpha beta gamma delta " * 20_000
+    rows = [(None, None, None, None, None), (1, "", "en", "s", 0), (1, "", "en", "s", 0), (2, long, None, "s", 1), (2, long, None, "s", 1), (3, "just one text of words", "en", None, None), (None, "just one text of words here", "en", "t", 2)]
+    odd = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    odd = odd.selectExpr("*", "1 as key", "2 as id", "3 as node", "4 as score", "5 as c0", "6 as __n", "7 as row", "8 as block")
+    for frame in (odd, odd.filter("false")):
+        for name, stage in corpus_pipeline.STAGES:
+            out = stage(spark, frame, str(tmp_path))
+            got = out.collect()
+            assert set(frame.columns) <= set(out.columns) and len(got) <= 2 * len(rows)
+            if name in ("toxicity", "decontamination", "sharding"):
+                assert len(got) == frame.count()
+
+
 def test_queries_cover_the_ten():
     names = {n.split("_")[0] for n in queries.queries()}
     assert names == {f"op{i}" for i in range(1, 11)}

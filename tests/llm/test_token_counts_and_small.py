@@ -1,7 +1,9 @@
 """Edge cases and brute-force comparisons of the operators that need no corpus state."""
 
+import collections
 import hashlib
 import re
+import zlib
 
 import public_tokenizers
 import pytest
@@ -138,16 +140,57 @@ def test_moved_bytes_are_minimal(old, n):
     assert sum(v for (i, j), v in flow.items() if i == j) == sum(min(o, c) for o, c in zip(old, capacity))
 
 
-def test_reshard(spark, tmp_path):
+def test_reshard(spark):
     out = resharding.reshard(odd(spark), F.col("n_tokens") % 3, 4)
     rows = out.collect()
-    assert len(rows) == len(ODD) and all(r["size"] >= 16 for r in rows)
+    size = lambda t: len((t or "").encode()) + 16
+    assert sorted((r["doc_id"] or -1, r["size"], r["text_crc32"], r["old_shard"]) for r in rows) == sorted((i or -1, size(t), zlib.crc32((t or "").encode()), n % 3) for i, t, n in ODD)
     for s in {r["shard"] for r in rows}:
         mine = sorted(r["slot"] for r in rows if r["shard"] == s)
         assert mine == list(range(len(mine)))
-    touched = resharding.rewrite_affected(out, str(tmp_path / "new"))
-    assert set(touched) == {x for r in rows if r["shard"] != r["old_shard"] for x in (r["shard"], r["old_shard"])}
+    carried = resharding.reshard(odd(spark), F.col("n_tokens") % 3, 4, carry=True)
+    assert collections.Counter(tuple(r["row"]) for r in carried.collect()) == collections.Counter(map(tuple, odd(spark).collect()))
+    assert sorted(map(tuple, carried.drop("row").collect()), key=str) == sorted(map(tuple, rows), key=str)
     assert resharding.reshard(empty(spark), F.col("shard"), 4).collect() == []
+    with pytest.raises(ValueError):
+        resharding.reshard(odd(spark), F.lit(-1), 4)
+
+
+def layout(spark, rows):
+    return spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "'x' as size", "2 as block", "3 as row")
+
+
+def test_even_shards_from_uneven_ones(spark):
+    rows = [(i, "word " * (i * 37 % 60)) for i in range(3000)]
+    got = resharding.reshard(layout(spark, rows), F.floor(F.pow(F.col("doc_id") / 3000, 2) * 8), 8).collect()
+    held, stay = [0] * 8, 0
+    before = [0] * 8
+    for r in got:
+        held[r["shard"]] += r["size"]
+        before[r["old_shard"]] += r["size"]
+        stay += r["size"] * (r["shard"] == r["old_shard"])
+    assert max(held) - min(held) < 2 * 316 * 3  # the largest blocks hold a few rows
+    assert abs(stay - sum(min(b, sum(before) // 8) for b in before)) < 8 * 316 * 3  # no more moved than had to
+
+
+def test_rewrite_in_place(spark, tmp_path):
+    """Untouched shards keep their files, touched ones are replaced, and every row is there once."""
+    import os
+
+    rows = [(i if i % 7 else None, f"text {i % 50} " * (i % 11)) for i in range(400)] + [(1, None), (1, None)]
+    df = layout(spark, rows)
+    path = str(tmp_path / "layout")
+    resharding.write_layout(df, F.when(F.col("doc_id") % 4 == 0, 1).when(F.length("text") > 60, 6).otherwise(0), path)
+    files = lambda: {d: sorted(os.listdir(f"{path}/{d}")) for d in os.listdir(path) if d.startswith("shard=")}
+    old = files()
+    sizes = {r["shard"]: r["n"] for r in spark.read.parquet(path).groupBy("shard").agg(F.sum(F.coalesce(F.octet_length("text"), F.lit(0)) + 16).alias("n")).collect()}
+    total = sum(sizes.values())
+    touched = resharding.rewrite_affected(spark, path, 4, [total - sizes[1], sizes[1], 0, 0])
+    new = files()
+    assert touched == [0, 6] and new["shard=1"] == old["shard=1"] and new["shard=0"] != old["shard=0"] and set(new) == {"shard=0", "shard=1"}
+    back = spark.read.parquet(path)
+    assert collections.Counter(map(tuple, back.select(*df.columns).collect())) == collections.Counter(map(tuple, df.collect()))
+    assert resharding.rewrite_affected(spark, path, 4) and collections.Counter(map(tuple, spark.read.parquet(path).select(*df.columns).collect())) == collections.Counter(map(tuple, df.collect()))
 
 
 def test_digest_of_no_items():
