@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rippleframe.operators.loops import cut
+from rippleframe.operators.loops import cut, cut_counted
 from rippleframe.operators.resolve import base_module, import_struct, resolve
 
 
@@ -23,17 +23,27 @@ def export_index(declarations: DataFrame, files: DataFrame) -> DataFrame:
     own = own.withColumn("submodule", F.concat_ws(".", "importer_module", "exported")).join(sub.withColumn("is_module", F.lit(True)), "submodule", "left")
     fallback = F.when(F.col("module").isNull(), F.when(F.col("is_module"), F.col("submodule")).otherwise(F.col("importer_module")))
     known = own.select(F.col("importer_module").alias("module"), F.col("exported").alias("name"), F.coalesce("target", fallback).alias("target")).filter("target is not null").distinct()
-    if not wild.limit(1).count():
+    through = wildcard_closure(wild)
+    if through is None:
         return known
-    wild, known = cut(wild), cut(known)
-    fresh = known
-    while True:  # each round passes on only what the last one added
-        through = wild.select(F.col("module").alias("to"), F.col("target").alias("module"))
-        fresh = through.join(fresh, "module").select(F.col("to").alias("module"), "name", "target").distinct()
-        fresh = cut(fresh.join(known, ["module", "name", "target"], "left_anti"))
-        if not fresh.limit(1).count():
-            return known
-        known = cut(known.unionByName(fresh))
+    known = cut(known)
+    passed = through.select(F.col("module").alias("to"), F.col("target").alias("module")).join(known, "module").select(F.col("to").alias("module"), "name", "target")
+    return known.unionByName(passed).distinct()
+
+
+def wildcard_closure(wild: DataFrame) -> DataFrame | None:
+    """(module, target): all modules that a module's `*` imports reach, by doubling: every round doubles
+    the length of the chains that are known. None without any."""
+    reach, count = cut_counted(wild)
+    if not count:
+        return None
+    while True:
+        ahead = reach.select(F.col("module").alias("target"), F.col("target").alias("far"))
+        longer = reach.join(ahead, "target").select("module", F.col("far").alias("target")).filter("module <> target")
+        reach, now = cut_counted(reach.unionByName(longer).distinct())
+        if now == count:
+            return reach
+        count = now
 
 
 def reexport_evidence(resolutions: DataFrame, exports: DataFrame, files: DataFrame) -> DataFrame:

@@ -1,73 +1,92 @@
-"""Graph operators over edges (dependent, dependency): an edge says dependent needs dependency."""
+"""Graph operators over edges (dependent, dependency): an edge says dependent needs dependency.
+
+Traversals run level by level, as DataFrames at every size. Two things keep the rounds and the
+rows few. Runs of nodes with one dependency and one dependent each are contracted first, by
+pointers that double their reach every round, so a chain of any length costs rounds by its
+logarithm. And a node carries the seeds that reach it as bits, 64 to a row: a round joins only
+the newest bits with the edges and combines them by `bit_or` before they are shuffled. Nulls
+are no nodes; an edge from a node to itself changes nothing."""
 
 from __future__ import annotations
 
-from collections import deque
+from functools import reduce
 
-import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from rippleframe.operators.loops import cut
+from rippleframe.operators.loops import cut, cut_counted
 
-# Up to these sizes a traversal runs on the driver, where a round costs no job; beyond any of
-# them the distributed loop does the same.
-LOCAL_EDGES, LOCAL_SEEDS, LOCAL_PAIRS = 200_000, 1_000, 2_000_000
+ROUNDS_KEPT = 8  # tables of seen bits that are read one by one before they become one
 
 
-def _bounded(df: DataFrame, most: int) -> pa.Table | None:
-    """The rows, if there are at most `most`."""
-    if not most:
-        return None
-    got = df.limit(most + 1).toArrow()
-    return got if got.num_rows <= most else None
-
-
-def _whole(edges: DataFrame) -> DataFrame:
-    """Edges with both ends: a null is no node, on the driver as in the distributed loop."""
-    return edges.filter("dependent is not null and dependency is not null")
-
-
-def _adjacency(table: pa.Table, start: str, end: str) -> dict:
-    out: dict = {}
-    for a, b in zip(table[start].to_pylist(), table[end].to_pylist()):
-        out.setdefault(a, []).append(b)
-    return out
-
-
-def _local_closure(back: dict, seeds: list) -> list[tuple] | None:
-    """Breadth-first from each seed; None where the pairs get too many."""
-    pairs = []
-    for seed in seeds:
-        seen, queue = {seed}, deque([seed])
-        while queue:
-            for node in back.get(queue.popleft(), ()):
-                if node not in seen:
-                    seen.add(node)
-                    queue.append(node)
-        seen.discard(seed)
-        pairs += [(seed, node) for node in seen]
-        if len(pairs) > LOCAL_PAIRS:
-            return None
-    return pairs
-
-
-def _local_path(ahead: dict, affected, changed) -> list | None:
-    """Breadth-first with neighbours in order: the least of the shortest paths."""
-    parent, queue = {affected: None}, deque([affected])
-    while queue and changed not in parent:
-        at = queue.popleft()
-        for node in ahead.get(at, ()):
-            if node not in parent:
-                parent[node] = at
-                queue.append(node)
-    if changed not in parent:
+def _back_edges(edges: DataFrame) -> DataFrame:
+    """(dependency, dependent), once each, written."""
+    return cut(edges.filter("dependent is not null and dependency is not null and dependent <> dependency").select("dependency", "dependent").distinct())
+
+
+def _union(frames: list[DataFrame]) -> DataFrame:
+    return reduce(lambda a, b: a.unionByName(b), frames)
+
+
+def chains(back: DataFrame, kept: DataFrame) -> DataFrame | None:
+    """(node, start, from_start, end, to_end, last) of every node with one dependency and one dependent
+    that is not in `kept` (node): the first other nodes on both sides, the steps to them, and the
+    chain's node next to the end. Rings without any other node are left out. None where there are none."""
+    before = back.groupBy(F.col("dependent").alias("node")).agg(F.count("*").alias("n"), F.min("dependency").alias("start")).filter("n = 1").drop("n")
+    after = back.groupBy(F.col("dependency").alias("node")).agg(F.count("*").alias("n"), F.min("dependent").alias("end")).filter("n = 1").drop("n")
+    one = F.lit(1).cast("long")
+    inner, count = cut_counted(before.join(after, "node").join(kept, "node", "left_anti").select("node", "start", one.alias("from_start"), "end", one.alias("to_end"), F.col("node").alias("last")))
+    if not count:
         return None
-    path, at = [changed], changed
-    while at != affected:
-        at = parent[at]
-        path.append(at)
-    return path[::-1]
+    rows = inner
+    for _ in range(count.bit_length() + 1):
+        left = rows.select(F.col("node").alias("start"), F.col("start").alias("start_2"), F.col("from_start").alias("from_2"))
+        right = rows.select(F.col("node").alias("end"), F.col("end").alias("end_2"), F.col("to_end").alias("to_2"), F.col("last").alias("last_2"))
+        both = rows.join(left, "start", "left").join(right, "end", "left")
+        moved = F.col("start_2").isNotNull() | F.col("end_2").isNotNull()
+        rows, open_ = cut_counted(
+            both.select(
+                "node", F.coalesce("start_2", "start").alias("start"), (F.col("from_start") + F.coalesce("from_2", F.lit(0))).alias("from_start"),
+                F.coalesce("end_2", "end").alias("end"), (F.col("to_end") + F.coalesce("to_2", F.lit(0))).alias("to_end"), F.coalesce("last_2", "last").alias("last"), moved.alias("moved"),
+            ),
+            "moved",
+        )
+        if not open_:
+            return rows
+    return cut(rows.join(inner.select(F.col("node").alias("start")), "start", "left_anti"))  # without rings
+
+
+def _contracted(back: DataFrame, inner: DataFrame | None) -> DataFrame:
+    """(a, b, w, via): a needs b over w steps, the first of them to `via`; for each a and b the shortest,
+    then least. Without the nodes of `inner`."""
+    plain = back.select(F.col("dependent").alias("a"), F.col("dependency").alias("b"), F.lit(1).cast("long").alias("w"), F.col("dependency").alias("via"))
+    if inner is None:
+        return plain
+    gone = inner.select("node")
+    plain = plain.join(gone.select(F.col("node").alias("a")), "a", "left_anti").join(gone.select(F.col("node").alias("b")), "b", "left_anti")
+    long = inner.filter("to_end = 1 and start <> end").select(F.col("end").alias("a"), F.col("start").alias("b"), (F.col("from_start") + 1).alias("w"), F.col("node").alias("via"))
+    best = plain.unionByName(long).groupBy("a", "b").agg(F.min(F.struct("w", "via")).alias("x"))
+    return cut(best.select("a", "b", "x.w", "x.via"))
+
+
+def _numbered(nodes: DataFrame) -> DataFrame:
+    """(node, n): distinct nodes with numbers that lie close together within a partition, written."""
+    return cut(nodes.filter("node is not null").distinct().withColumn("n", F.monotonically_increasing_id()))
+
+
+def _marks(numbered: DataFrame) -> DataFrame:
+    return numbered.select("node", F.shiftright("n", 6).alias("word"), F.expr("shiftleft(1L, cast(n & 63 as int))").alias("bits"))
+
+
+def _bits(col: str = "bits") -> Column:
+    """The numbers of the set bits within their word."""
+    return F.expr(f"filter(sequence(0, 63), i -> getbit({col}, i) = 1)")
+
+
+def _named(rows: DataFrame, numbered: DataFrame, name: str) -> DataFrame:
+    """One row for each set bit, with the seed that it stands for as column `name`."""
+    rows = rows.withColumn("bit", F.explode(_bits())).withColumn("n", F.shiftleft("word", 6) + F.col("bit")).drop("word", "bits", "bit")
+    return rows.join(numbered.select("n", F.col("node").alias(name)), "n").drop("n")
 
 
 def edges_of(evidence: DataFrame) -> DataFrame:
@@ -92,59 +111,94 @@ def direct_dependents(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     return edges.join(nodes.select(F.col("node").alias("dependency")).distinct(), "dependency", "left_semi").select(F.col("dependent").alias("node")).distinct()
 
 
-def reverse_closure(edges: DataFrame, seeds: DataFrame, max_rounds: int | None = None) -> DataFrame:
+def closure_bits(edges: DataFrame, seeds: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """((node, word, bits), (node, n)): the seeds that reach each node, themselves included, as bits, and
+    the seeds' numbers: bit i of a word stands for the seed of number 64 x word + i."""
+    back, numbered = _back_edges(edges), _numbered(seeds.select("node"))
+    inner = chains(back, numbered.select("node"))
+    step = _contracted(back, inner).select(F.col("b").alias("node"), F.col("a").alias("to"))
+    new = cut(_marks(numbered).groupBy("node", "word").agg(F.bit_or("bits").alias("bits")))
+    seen = [new]
+    while True:
+        sent = new.join(step, "node").groupBy(F.col("to").alias("node"), "word").agg(F.bit_or("bits").alias("bits"))
+        old = _union(seen).groupBy("node", "word").agg(F.bit_or("bits").alias("old"))
+        fresh = F.col("bits").bitwiseAND(F.bitwise_not(F.coalesce("old", F.lit(0).cast("long"))))
+        new, count = cut_counted(sent.join(old, ["node", "word"], "left").select("node", "word", fresh.alias("bits")).filter("bits <> 0"))
+        if not count:
+            break
+        seen.append(new)
+        if len(seen) > ROUNDS_KEPT:
+            seen = [cut(_union(seen).groupBy("node", "word").agg(F.bit_or("bits").alias("bits")))]
+    reached = _union(seen)  # no bit of a node stands in two of them
+    if inner is not None:
+        passed = reached.withColumnRenamed("node", "start").join(inner.select("start", "node"), "start")
+        reached = reached.unionByName(passed.select("node", "word", "bits"))
+    return reached, numbered
+
+
+def reverse_closure(edges: DataFrame, seeds: DataFrame) -> DataFrame:
     """(seed, node): all nodes that depend on each seed, directly or not, the seed itself excepted.
 
-    Level-synchronous: only the newest pairs are joined with the edges, and pairs seen before are
-    dropped, so cycles end. `seeds` has column `node`."""
-    edges = _whole(edges)
-    start = seeds.select("node").filter("node is not null").distinct()
-    small = _bounded(edges.select("dependency", "dependent").distinct(), LOCAL_EDGES) if max_rounds is None else None
-    first = _bounded(start, LOCAL_SEEDS) if small is not None else None
-    if first is not None:
-        pairs = _local_closure(_adjacency(small, "dependency", "dependent"), first["node"].to_pylist())
-        if pairs is not None:
-            kind = small.schema.field("dependent").type
-            return edges.sparkSession.createDataFrame(pa.table({"seed": pa.array([p[0] for p in pairs], kind), "node": pa.array([p[1] for p in pairs], kind)}))
-    back = cut(edges.select("dependency", "dependent").distinct())
-    new = start.select(F.col("node").alias("seed"), "node")
-    seen = new = cut(new)
-    rounds = 0
-    while max_rounds is None or rounds < max_rounds:
-        step = new.join(back, new["node"] == back["dependency"]).select("seed", F.col("dependent").alias("node")).distinct()
-        new = cut(step.join(seen, ["seed", "node"], "left_anti"))
-        if not new.limit(1).count():
+    `seeds` has column `node`."""
+    reached, numbered = closure_bits(edges, seeds)
+    return _named(reached, numbered, "seed").filter("seed <> node").select("seed", "node")
+
+
+def _distances(step: DataFrame, numbered: DataFrame) -> DataFrame:
+    """(node, word, d, bits): the seeds whose shortest way up to the node has d steps, written."""
+    new = cut(_marks(numbered).groupBy("node", "word").agg(F.bit_or("bits").alias("bits")).withColumn("d", F.lit(0).cast("long")))
+    edges = step.select(F.col("b").alias("node"), F.col("a").alias("to"), "w")
+    seen = [new]
+    while True:
+        sent = new.join(edges, "node").groupBy(F.col("to").alias("node"), "word", (F.col("d") + F.col("w")).alias("d")).agg(F.bit_or("bits").alias("bits"))
+        old = _union(seen).select("node", "word", F.col("d").alias("old_d"), F.col("bits").alias("old"))
+        nearer = F.when(F.col("old_d") <= F.col("d"), F.col("old")).otherwise(F.lit(0).cast("long"))
+        left = sent.join(old, ["node", "word"], "left").groupBy("node", "word", "d").agg(F.first("bits").alias("bits"), F.bit_or(nearer).alias("old"))
+        fresh = F.col("bits").bitwiseAND(F.bitwise_not(F.coalesce("old", F.lit(0).cast("long"))))
+        new, count = cut_counted(left.select("node", "word", "d", fresh.alias("bits")).filter("bits <> 0"))
+        if not count:
             break
-        seen = seen.unionByName(new)
-        rounds += 1
-    return seen.filter("seed <> node")
+        seen.append(new.select(*seen[0].columns))
+        if len(seen) > ROUNDS_KEPT:
+            seen = [cut(_union(seen))]
+    nearer = Window.partitionBy("node", "word").orderBy("d").rowsBetween(Window.unboundedPreceding, -1)
+    first = F.col("bits").bitwiseAND(F.bitwise_not(F.coalesce(F.bit_or("bits").over(nearer), F.lit(0).cast("long"))))
+    return cut(_union(seen).groupBy("node", "word", "d").agg(F.bit_or("bits").alias("bits")).withColumn("bits", first).filter("bits <> 0"))
 
 
 def shortest_paths(edges: DataFrame, pairs: DataFrame) -> DataFrame:
     """(changed, affected, path): of the shortest paths from affected down to changed the least in
     node order; pairs without a path are absent. `pairs` has changed, affected."""
-    edges, pairs = _whole(edges), pairs.filter("changed is not null and affected is not null")
-    small = _bounded(edges.select("dependent", "dependency").distinct(), LOCAL_EDGES)
-    asked = _bounded(pairs.select("changed", "affected").distinct(), LOCAL_SEEDS) if small is not None else None
-    if asked is not None:
-        ahead = _adjacency(small.sort_by([("dependent", "ascending"), ("dependency", "ascending")]), "dependent", "dependency")
-        rows = [(c, a, _local_path(ahead, a, c)) for c, a in zip(asked["changed"].to_pylist(), asked["affected"].to_pylist())]
-        rows = [r for r in rows if r[2]]
-        kind = small.schema.field("dependent").type
-        return edges.sparkSession.createDataFrame(pa.table({"changed": pa.array([r[0] for r in rows], kind), "affected": pa.array([r[1] for r in rows], kind), "path": pa.array([r[2] for r in rows], pa.list_(kind))}))
-    out_edges = cut(edges.distinct())
-    goal = cut(pairs.select("changed", "affected").distinct())
-    new = cut(goal.select("changed", "affected", F.col("affected").alias("node"), F.array("affected").alias("path")))
-    seen, found = new, new.filter("node = changed")
+    pairs = cut(pairs.filter("changed is not null and affected is not null").select("changed", "affected").distinct())
+    back, numbered = _back_edges(edges), _numbered(pairs.select(F.col("changed").alias("node")))
+    inner = chains(back, pairs.select(F.col("changed").alias("node")).union(pairs.select("affected")).distinct())
+    step = _contracted(back, inner)
+    near = _distances(step, numbered)
+    below = near.select(F.col("node").alias("b"), "word", F.col("d").alias("below"), F.col("bits").alias("theirs"))
+    hops = near.withColumnRenamed("node", "a").join(step, "a").withColumn("below", F.col("d") - F.col("w")).join(below, ["b", "word", "below"])
+    hops = hops.select("a", "word", F.col("bits").bitwiseAND(F.col("theirs")).alias("bits"), F.struct("via", "b", "w").alias("hop")).filter("bits <> 0")
+    hops = cut(_named(hops, numbered, "changed").groupBy("changed", F.col("a").alias("at")).agg(F.min("hop").alias("hop")))
+    none = F.array().cast(f"array<{hops.schema['hop'].dataType.simpleString()}>")
+    open_, done = pairs.select("changed", "affected", F.col("affected").alias("at"), none.alias("hops")), []
     while True:
-        open_ = new.join(found.select("changed", "affected"), ["changed", "affected"], "left_anti")
-        step = open_.join(out_edges, open_["node"] == out_edges["dependent"]).select("changed", "affected", F.col("dependency").alias("node"), F.concat("path", F.array("dependency")).alias("path"))
-        step = step.groupBy("changed", "affected", "node").agg(F.min("path").alias("path"))
-        new = cut(step.join(seen, ["changed", "affected", "node"], "left_anti"))
-        if not new.limit(1).count():
-            return found.select("changed", "affected", "path")
-        seen = seen.unionByName(new.select(*seen.columns))
-        found = found.unionByName(new.filter("node = changed").select(*found.columns))
+        done.append(open_.filter("at = changed").drop("at"))
+        for _ in range(3):  # a few hops a round
+            ahead = open_.filter("at <> changed").join(hops, ["changed", "at"]).select("changed", "affected", F.col("hop.b").alias("at"), F.concat("hops", F.array("hop")).alias("hops"))
+            done.append(ahead.filter("at = changed").drop("at"))
+            open_ = ahead
+        open_, count = cut_counted(open_.filter("at <> changed"))
+        done = [cut(_union(done))]
+        if not count:
+            break
+    found = done[0]
+    if inner is None:
+        return found.select("changed", "affected", F.concat(F.array("affected"), F.transform("hops", lambda h: h["b"])).alias("path"))
+    found = found.select("changed", "affected", F.posexplode_outer("hops").alias("place", "hop"))
+    through = found.filter("hop.w > 1").withColumn("last", F.col("hop.via")).join(inner.select("last", F.col("node").alias("stop"), F.col("to_end").alias("offset")), "last")
+    ends = found.filter("hop is not null").select("changed", "affected", "place", F.col("hop.w").alias("offset"), F.col("hop.b").alias("stop"))
+    stops = ends.unionByName(through.select(*ends.columns)).unionByName(found.filter("coalesce(place, 0) = 0").select("changed", "affected", F.lit(0).alias("place"), F.lit(0).cast("long").alias("offset"), F.col("affected").alias("stop")))
+    listed = F.array_sort(F.collect_list(F.struct("place", "offset", "stop")))
+    return stops.groupBy("changed", "affected").agg(F.transform(listed, lambda x: x["stop"]).alias("path"))
 
 
 def path_steps(paths: DataFrame, evidence: DataFrame) -> DataFrame:

@@ -5,19 +5,49 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
+
+_written: dict[str, list[str]] = {}  # by application
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """spark.checkpoint.dir, or a folder of our own where it is unset."""
+    """spark.checkpoint.dir; a folder of our own where it is unset and all tasks run on this machine."""
     jsc = spark.sparkContext._jsc.sc()
     if jsc.getCheckpointDir().isEmpty():
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="ckpt-"))
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder:
+            if not jsc.isLocal():
+                raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+            folder = tempfile.mkdtemp(prefix="ckpt-")
+        spark.sparkContext.setCheckpointDir(folder)
     return jsc.getCheckpointDir().get()
 
 
 def cut(df: DataFrame) -> DataFrame:
     """The same rows as a written table: survives lost executors, ends the lineage."""
-    path = f"{shared_dir(df.sparkSession)}/t-{uuid.uuid4().hex}"
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/t-{uuid.uuid4().hex}"
+    _written.setdefault(spark.sparkContext.applicationId, []).append(path)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def cut_counted(df: DataFrame, where: str | None = None) -> tuple[DataFrame, int]:
+    """`cut`, and the number of rows, which the write itself counts; with `where` the number of rows where
+    that boolean column, which is not written, is true."""
+    seen = Observation()
+    counted = df.observe(seen, (F.count_if(where) if where else F.count(F.lit(1))).alias("n"))
+    out = cut(counted.drop(where) if where else counted)
+    return out, seen.get["n"]
+
+
+def release(spark: SparkSession) -> int:
+    """Remove all tables that `cut` wrote in this application, when no result that reads them is wanted
+    any more; returns their number."""
+    paths = _written.pop(spark.sparkContext.applicationId, [])
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    for p in paths:
+        path = jvm.org.apache.hadoop.fs.Path(p)
+        path.getFileSystem(conf).delete(path, True)
+    return len(paths)

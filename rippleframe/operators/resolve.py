@@ -55,12 +55,16 @@ def candidates(imports: DataFrame, files: DataFrame) -> DataFrame:
 
 
 def resolve(imports: DataFrame, files: DataFrame) -> DataFrame:
-    """Import rows with `candidates`, sorted `resolved` modules, `failure` and `status`."""
+    """Import rows with `candidates`, sorted `resolved` modules, `failure` and `status`.
+
+    The row travels with each of its candidates, so the expansion is evaluated once; (path, ordinal)
+    tell the rows apart."""
     rows = candidates(imports, files)
-    local = files.select(F.col("module").alias("candidate"), F.lit(True).alias("hit"))
-    pairs = rows.select("path", "ordinal", F.explode("candidates").alias("candidate")).join(local, "candidate")
-    resolved = pairs.groupBy("path", "ordinal").agg(F.array_sort(F.collect_set("candidate")).alias("resolved"))
-    out = rows.join(resolved, ["path", "ordinal"], "left").withColumn("resolved", F.coalesce("resolved", F.array().cast("array<string>")))
+    local = files.select(F.col("module").alias("candidate"), F.lit(True).alias("hit")).distinct()
+    carried = [c for c in rows.columns if c not in ("path", "ordinal", "candidates")]
+    pairs = rows.select("path", "ordinal", F.struct(*carried).alias("row"), F.explode_outer("candidates").alias("candidate")).join(local, "candidate", "left")
+    out = pairs.groupBy("path", "ordinal").agg(F.first("row").alias("row"), F.array_sort(F.collect_set("candidate")).alias("candidates"), F.array_sort(F.collect_set(F.when(F.col("hit"), F.col("candidate")))).alias("resolved"))
+    out = out.select("path", "ordinal", "row.*", "candidates", "resolved")
     status = (
         F.when(F.size("resolved") > 0, "resolved")
         .when(F.col("failure") == "relative_beyond_top_level", "invalid_relative_import")

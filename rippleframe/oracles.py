@@ -11,19 +11,19 @@ FILES = """files AS (
   UNION ALL SELECT NULL, 'src/g' || g || '/__init__.py', 'g' || g, true, false FROM range(0, 20, 2) t(g))"""
 
 
-def edges(q: int = 10, layered: bool = True, name: str = "edges") -> str:
+def edges(keep: str = "true", layered: bool = True, name: str = "edges") -> str:
     pick = "CASE WHEN a.l_partkey % 8 > b.l_partkey % 8 THEN {} ELSE {} END"
     one, two = (pick.format("a.l_partkey", "b.l_partkey"), pick.format("b.l_partkey", "a.l_partkey")) if layered else ("a.l_partkey", "b.l_partkey")
     differ = "a.l_partkey % 8 <> b.l_partkey % 8" if layered else "a.l_partkey <> b.l_partkey"
     return f"""{name} AS (SELECT DISTINCT {one} AS dependent, {two} AS dependency
   FROM lineitem a JOIN lineitem b ON a.l_orderkey = b.l_orderkey AND b.l_linenumber = a.l_linenumber + 1
-  WHERE a.l_quantity <= {q} AND {differ})"""
+  WHERE {keep} AND {differ})"""
 
 
-SEEDS = "seeds AS (SELECT p_partkey AS node FROM part WHERE p_partkey % 100 = 0 AND p_partkey < 1000)"
+SEEDS = "seeds AS (SELECT p_partkey AS node FROM part WHERE p_brand = 'Brand#13')"
 REACH = "reach(seed, node) AS (SELECT node, node FROM seeds UNION SELECT r.seed, e.dependent FROM reach r JOIN edges e ON e.dependency = r.node)"
 PATH_EDGES = "edges AS (SELECT a.path AS dependent, b.path AS dependency FROM key_edges e JOIN files a ON a.k = e.dependent JOIN files b ON b.k = e.dependency)"
-PATH_SEEDS = "seeds AS (SELECT path AS node FROM files WHERE k % 100 = 0 AND k < 1000)"
+PATH_SEEDS = "seeds AS (SELECT path AS node FROM files JOIN part ON p_partkey = k WHERE p_brand = 'Brand#13')"
 IMPACT = """causes AS (SELECT node, seed AS cause FROM reach WHERE node <> seed
     UNION ALL SELECT s.node, s.node FROM seeds s JOIN tests t ON t.path = s.node),
   impact AS (SELECT c.node AS path, CASE WHEN c.node IN (SELECT node FROM seeds) THEN 'changed'
@@ -58,14 +58,12 @@ TREE = """dirs AS (SELECT n_nationkey, 'tests/' || r_name AS rdir, 'tests/' || r
     FROM sees s JOIN fixtures f ON f.conftest = s.conftest)"""
 
 CHANGES = f"""{FILES}, parts AS (SELECT count(*) AS n FROM part),
-  changes AS (SELECT o_orderkey, ['Added', 'Modified', 'Deleted', 'Renamed'][o_orderkey % 4 + 1] AS kind, a.path, CASE WHEN o_orderkey % 4 = 3 THEN b.path END AS previous_path
+  changes AS (SELECT o_orderkey, CASE WHEN o_totalprice < 3000 THEN 'Deleted' WHEN o_totalprice < 6000 THEN 'Renamed' WHEN o_orderstatus = 'O' THEN 'Added' ELSE 'Modified' END AS kind, a.path,
+      CASE WHEN o_totalprice >= 3000 AND o_totalprice < 6000 THEN b.path END AS previous_path
     FROM orders CROSS JOIN parts JOIN files a ON a.k = o_custkey % n JOIN files b ON b.k = (o_custkey + 1) % n)"""
 
 
-def _gone(mod: int) -> str:
-    return f"gone AS (SELECT DISTINCT CASE WHEN kind = 'Deleted' THEN path ELSE previous_path END AS path FROM changes WHERE kind IN ('Deleted', 'Renamed') AND o_orderkey % {mod} < 4)"
-
-
+GONE = "gone AS (SELECT DISTINCT CASE WHEN kind = 'Deleted' THEN path ELSE previous_path END AS path FROM changes WHERE kind IN ('Deleted', 'Renamed'))"
 CLOSURE = "SELECT node, count(*) AS n_causes, min(seed) AS first_cause, max(seed) AS last_cause FROM reach WHERE seed <> node GROUP BY node"
 _IN = "(path LIKE 'src/g1/%' OR path LIKE 'src/g5/%')"
 _PIN = "(previous_path LIKE 'src/g1/%' OR previous_path LIKE 'src/g5/%')"
@@ -76,15 +74,17 @@ SQL = {
     "impact_partition": f"WITH RECURSIVE {PATHS} SELECT path, cls, is_test, caused_by FROM impact",
     "affected_tests": f"WITH RECURSIVE {PATHS} SELECT path FROM impact WHERE is_test ORDER BY path",
     "plan_targets": f"WITH RECURSIVE {PATHS} SELECT 'selective' AS mode, path AS target FROM impact WHERE is_test UNION ALL SELECT 'none', NULL WHERE NOT EXISTS (SELECT 1 FROM impact WHERE is_test)",
-    "why_path": f"""WITH RECURSIVE {edges()}, {SEEDS}, {REACH},
-  walk(affected, node, path) AS (SELECT DISTINCT node, node, [node] FROM reach WHERE node <> seed UNION ALL
-    SELECT w.affected, e.dependency, list_append(w.path, e.dependency) FROM walk w JOIN edges e ON e.dependent = w.node),
-  ranked AS (SELECT s.node AS changed, w.affected, w.path, row_number() OVER (PARTITION BY s.node, w.affected ORDER BY len(w.path), w.path) AS r FROM walk w JOIN seeds s ON s.node = w.node WHERE w.affected <> s.node)
-SELECT changed, affected, array_to_string(list_transform(path, lambda x: CAST(x AS VARCHAR)), '>') AS path, len(path) - 1 AS n_steps FROM ranked WHERE r = 1""",
+    "why_path": f"""WITH RECURSIVE {edges()}, {SEEDS},
+  reach(seed, node, d) AS (SELECT node, node, 0 FROM seeds UNION SELECT r.seed, e.dependent, r.d + 1 FROM reach r JOIN edges e ON e.dependency = r.node),
+  dist AS (SELECT seed, node, min(d) AS d FROM reach GROUP BY seed, node),
+  hop AS (SELECT a.seed, a.node, min(e.dependency) AS next FROM dist a JOIN edges e ON e.dependent = a.node JOIN dist b ON b.seed = a.seed AND b.node = e.dependency AND b.d = a.d - 1 GROUP BY a.seed, a.node),
+  walk(seed, affected, node, path) AS (SELECT seed, node, node, [node] FROM dist WHERE d > 0 UNION ALL
+    SELECT w.seed, w.affected, h.next, list_append(w.path, h.next) FROM walk w JOIN hop h ON h.seed = w.seed AND h.node = w.node)
+SELECT seed AS changed, affected, array_to_string(list_transform(path, lambda x: CAST(x AS VARCHAR)), '>') AS path, len(path) - 1 AS n_steps FROM walk WHERE node = seed""",
     "neighbours": f"""WITH {edges()}, nodes AS (SELECT dependent AS node FROM edges UNION SELECT dependency FROM edges),
   d AS (SELECT dependent AS node, count(*) AS n, min(dependency) AS m FROM edges GROUP BY 1), r AS (SELECT dependency AS node, count(*) AS n, min(dependent) AS m FROM edges GROUP BY 1)
 SELECT node, coalesce(d.n, 0) AS n_dependencies, coalesce(r.n, 0) AS n_dependents, d.m AS first_dependency, r.m AS first_dependent FROM nodes LEFT JOIN d USING (node) LEFT JOIN r USING (node)""",
-    "edge_mutations": f"""WITH {edges(10, name='old')}, {edges(12, name='every')}, new AS (SELECT * FROM every WHERE dependent % 10 <> 0)
+    "edge_mutations": f"""WITH {edges("a.l_returnflag <> 'R'", name='old')}, {edges("a.l_returnflag <> 'A'", name='new')}
 SELECT *, 'added' AS change FROM (SELECT * FROM new EXCEPT SELECT * FROM old) UNION ALL SELECT *, 'removed' FROM (SELECT * FROM old EXCEPT SELECT * FROM new)""",
     "path_to_module": f"WITH {FILES} SELECT path, module, is_package FROM files",
     "is_test_flag": f"WITH {FILES} SELECT path, is_test AS by_name, is_test OR path LIKE 'src/g3/%' AS with_root FROM files",
@@ -99,10 +99,10 @@ SELECT i.path, i.ordinal, CASE WHEN resolved IS NULL THEN 'unresolved' ELSE 'res
 FROM imports i WHERE NOT EXISTS (SELECT 1 FROM hits h WHERE h.path = i.path AND h.ordinal = i.ordinal) ORDER BY importer, line, col""",
     "graph_summary": f"""WITH {IMPORTS} SELECT (SELECT count(*) FROM files) AS files, (SELECT count(DISTINCT module) FROM files) AS modules, (SELECT count(*) FROM (SELECT DISTINCT dependent, dependency FROM import_rows)) AS import_edges,
   (SELECT count(*) FROM files WHERE is_test) AS tests, (SELECT count(*) FROM imports i WHERE NOT EXISTS (SELECT 1 FROM hits h WHERE h.path = i.path AND h.ordinal = i.ordinal)) AS unresolved_imports""",
-    "export_index": f"""WITH RECURSIVE {FILES}, exported(module, name, target) AS (SELECT 'g' || (k % 20), 'N' || k, module FROM files WHERE k IS NOT NULL AND NOT is_test AND k % 10 = 4
+    "export_index": f"""WITH RECURSIVE {FILES}, exported(module, name, target) AS (SELECT 'g' || (k % 20), 'N' || k, module FROM files WHERE k IS NOT NULL AND NOT is_test AND k % 2 = 0
   UNION SELECT 'g' || (CAST(substr(module, 2) AS INTEGER) - 2), name, target FROM exported WHERE module <> 'g0') SELECT * FROM exported""",
-    "reexport_edges": f"""WITH {FILES} SELECT t.path AS dependent, m.path AS dependency, 'N' || m.k AS name FROM files t JOIN files m ON m.k = t.k - t.k % 10 + 4 AND NOT m.is_test WHERE t.is_test AND t.k % 3 = 0""",
-    "reresolve_set": f"WITH {IMPORTS}, {CHANGES.removeprefix(FILES + ', ')}, {_gone(50)} SELECT DISTINCT c.path AS importer FROM candidates c JOIN files f ON f.module = c.candidate JOIN gone g ON g.path = f.path",
+    "reexport_edges": f"""WITH {FILES} SELECT t.path AS dependent, m.path AS dependency, 'N' || m.k AS name FROM files t JOIN files m ON m.k = t.k - t.k % 2 AND NOT m.is_test WHERE t.is_test""",
+    "reresolve_set": f"WITH {IMPORTS}, {CHANGES.removeprefix(FILES + ', ')}, {GONE} SELECT DISTINCT c.path AS importer FROM candidates c JOIN files f ON f.module = c.candidate JOIN gone g ON g.path = f.path",
     "conftest_visibility": f"WITH {TREE} SELECT path, conftest, CAST(distance AS BIGINT) AS distance FROM sees",
     "fixture_visibility": f"WITH {TREE} SELECT o.path, o.name, conftest, CAST(distance AS BIGINT) AS distance, CAST(s_suppkey AS INTEGER) AS f_line FROM offered o JOIN tests t ON t.path = o.path AND o.name = 'fx' || (c_custkey % 10) WHERE r = 1",
     "fixture_edges": f"""WITH {TREE},
@@ -114,7 +114,7 @@ SELECT w.path AS dependent, o.conftest AS dependency, 'pytest_fixture' AS kind,
   above AS (SELECT conftest, 'fx' || (s_suppkey % 10) AS name, min(s_suppkey) AS s FROM fixtures GROUP BY 1, 2)
 SELECT a.conftest AS dependent, b.conftest AS dependency, a.name, CAST(b.s AS INTEGER) AS line FROM asked a JOIN above b ON b.conftest = a.rdir || '/conftest.py' AND b.name = a.name
 WHERE NOT EXISTS (SELECT 1 FROM above o WHERE o.conftest = a.conftest AND o.name = a.name)""",
-    "plugin_edges": f"""WITH {TREE}, confs AS (SELECT DISTINCT unnest(['tests', rdir, ndir]) || '/conftest.py' AS path FROM dirs) SELECT path AS dependent, 'src/g' || g || '/__init__.py' AS dependency, 'g' || g AS name FROM confs, range(0, 10, 2) t(g)""",
+    "plugin_edges": f"""WITH {TREE}, confs AS (SELECT DISTINCT unnest(['tests', rdir, ndir]) || '/conftest.py' AS path FROM dirs) SELECT path AS dependent, 'src/g' || g || '/__init__.py' AS dependency, 'g' || g AS name FROM confs, range(0, 20, 2) t(g)""",
     "parsed_imports": f"""WITH {IMPORTS} SELECT path, CAST(ordinal AS BIGINT) AS ordinal, kind, module, name, level, ordinal AS line,
   CAST(CASE WHEN kind = 'import' THEN 8 ELSE len('from ' || repeat('.', level) || coalesce(module, '') || ' import ') + 1 END AS INTEGER) AS col FROM imports""",
     "parsed_dynamic_imports": f"""WITH {FILES} SELECT path, CASE WHEN k % 3 = 2 THEN '__import__' ELSE 'import_module' END AS api, CASE k % 3 WHEN 1 THEN module WHEN 2 THEN 'pkg' END AS module,
@@ -131,7 +131,7 @@ FROM named WHERE path LIKE '%.py' OR kind = 'Renamed'""",
     "change_exclusion": f"""WITH {CHANGES} SELECT DISTINCT CASE WHEN kind <> 'Renamed' OR NOT {_IN} AND NOT {_PIN} THEN kind WHEN {_IN} THEN 'Deleted' ELSE 'Added' END AS kind,
   CASE WHEN kind = 'Renamed' AND {_IN} THEN previous_path ELSE path END AS path, CASE WHEN kind = 'Renamed' AND NOT {_IN} AND NOT {_PIN} THEN previous_path END AS previous_path
 FROM changes WHERE NOT {_IN} OR kind = 'Renamed' AND NOT {_PIN}""",
-    "overlay_impact": f"""WITH RECURSIVE {IMPORTS}, {CHANGES.removeprefix(FILES + ', ')}, {_gone(200)}, seeds AS (SELECT path AS node FROM gone),
+    "overlay_impact": f"""WITH RECURSIVE {IMPORTS}, {CHANGES.removeprefix(FILES + ', ')}, {GONE}, seeds AS (SELECT path AS node FROM gone),
   edges AS (SELECT DISTINCT dependent, dependency FROM import_rows WHERE dependent NOT IN (SELECT path FROM gone)),
   tests AS (SELECT path FROM files WHERE is_test AND path NOT IN (SELECT path FROM gone)), {REACH}, {IMPACT} SELECT path, cls, is_test, n_causes FROM impact""",
     "summary_delta": f"""WITH {IMPORTS}, kept AS (SELECT * FROM files WHERE coalesce(k % 10, 0) <> 2) SELECT (SELECT count(*) FROM kept) AS files, (SELECT count(DISTINCT module) FROM kept) AS modules,

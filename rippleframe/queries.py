@@ -39,8 +39,8 @@ def impact_closure_cyclic(spark, sf_dir):
     return pairs.groupBy("node").agg(F.count("*").alias("n_causes"), F.min("seed").alias("first_cause"), F.max("seed").alias("last_cause"))
 
 
-def _impact(spark, sf_dir, q=10):
-    return M.impact(L.path_edges(spark, sf_dir, q), L.files(spark, sf_dir), L.path_seeds(spark, sf_dir))
+def _impact(spark, sf_dir):
+    return M.impact(cut(L.path_edges(spark, sf_dir)), L.files(spark, sf_dir), L.path_seeds(spark, sf_dir))
 
 
 def impact_partition(spark, sf_dir):
@@ -58,7 +58,7 @@ def plan_targets(spark, sf_dir):
 
 
 def why_path(spark, sf_dir):
-    edges = L.key_edges(spark, sf_dir)
+    edges = cut(L.key_edges(spark, sf_dir))
     pairs = G.reverse_closure(edges, L.seeds(spark, sf_dir)).select(F.col("seed").alias("changed"), F.col("node").alias("affected"))
     found = G.shortest_paths(edges, pairs)
     return found.select("changed", "affected", F.array_join(F.transform("path", lambda x: x.cast("string")), ">").alias("path"), (F.size("path") - 1).cast("long").alias("n_steps"))
@@ -70,7 +70,9 @@ def neighbours(spark, sf_dir):
 
 
 def edge_mutations(spark, sf_dir):
-    return G.edge_mutations(L.key_edges(spark, sf_dir, 10), L.key_edges(spark, sf_dir, 12).filter("dependent % 10 <> 0"))
+    """From the edges without returned lines to those without accepted ones."""
+    flag = F.col("l_returnflag")
+    return G.edge_mutations(L.key_edges(spark, sf_dir, keep=flag != "R"), L.key_edges(spark, sf_dir, keep=flag != "A"))
 
 
 # -- paths and imports -----------------------------------------------------------------------
@@ -114,14 +116,14 @@ def unresolved_imports(spark, sf_dir):
 
 
 def graph_summary(spark, sf_dir):
-    r, f = _resolved(spark, sf_dir), L.files(spark, sf_dir)
+    r, f = cut(_resolved(spark, sf_dir)), L.files(spark, sf_dir)
     return M.graph_summary(f, r, R.import_evidence(r, f))
 
 
 def _declarations(spark, sf_dir):
     """Every even package re-exports its plain modules by name, and the next even package's names by `*`."""
     heads = L.files(spark, sf_dir).filter("is_package").select("path", F.regexp_extract("path", r"src/g(\d+)/", 1).cast("int").alias("g"))
-    mods = L.files(spark, sf_dir).filter("k is not null and not is_test and k % 10 = 4").select((F.col("k") % 20).cast("int").alias("g"), F.col("k").cast("int").alias("ordinal"), F.concat(F.lit("m"), F.col("k").cast("string")).alias("name"))
+    mods = L.files(spark, sf_dir).filter("k is not null and not is_test").select((F.col("k") % 20).cast("int").alias("g"), F.col("k").cast("int").alias("ordinal"), F.concat(F.lit("m"), F.col("k").cast("string")).alias("name"))
     named = heads.join(mods, "g").select("path", "ordinal", F.concat(F.lit("N"), F.substring("name", 2, 20)).alias("name"), F.concat(F.lit("g"), F.col("g").cast("string"), F.lit("."), "name").alias("module"), F.lit("C").alias("imported_name"), F.lit(0).alias("level"), F.lit(False).alias("wildcard"))
     wild = heads.filter("g < 18").select("path", F.lit(-1).alias("ordinal"), F.lit("*").alias("name"), F.concat(F.lit("g"), (F.col("g") + 2).cast("string")).alias("module"), F.lit("*").alias("imported_name"), F.lit(0).alias("level"), F.lit(True).alias("wildcard"))
     return named.unionByName(wild)
@@ -136,7 +138,7 @@ def reexport_edges(spark, sf_dir):
     f = L.files(spark, sf_dir)
     exports = cut(export_index(spark, sf_dir))
     taken = exports.filter("module = 'g0'").select("name").distinct()
-    users = f.filter("is_test and k % 3 = 0").select("path", F.concat(F.lit("N"), (F.col("k") - F.col("k") % 10 + 4).cast("string")).alias("name"), F.lit(1).alias("ordinal")).join(taken, "name")
+    users = f.filter("is_test").select("path", F.concat(F.lit("N"), (F.col("k") - F.col("k") % 2).cast("string")).alias("name"), F.lit(1).alias("ordinal")).join(taken, "name")
     none = F.lit(None).cast("string")
     users = users.select("path", "ordinal", F.lit("from").alias("kind"), F.lit("g0").alias("module"), "name", F.lit(0).alias("level"), none.alias("api"), none.alias("package"), F.lit(None).cast("array<string>").alias("fromlist"), none.alias("reason"), F.lit(1).alias("line"), F.lit(1).alias("col"))
     return X.reexport_evidence(R.resolve(users, f), exports, f).select("dependent", "dependency", "name")
@@ -144,8 +146,7 @@ def reexport_edges(spark, sf_dir):
 
 def reresolve_set(spark, sf_dir):
     index = R.candidate_index(R.candidates(L.imports(spark, sf_dir), L.files(spark, sf_dir)))
-    gone = C.virtual_paths(L.changes(spark, sf_dir).filter("o_orderkey % 50 < 4").withColumn("is_config", F.lit(False)))
-    return R.importers_to_resolve(index, L.files(spark, sf_dir).join(gone, "path", "left_semi"))
+    return R.importers_to_resolve(index, L.files(spark, sf_dir).join(L.gone_files(spark, sf_dir), "path", "left_semi"))
 
 
 # -- test framework --------------------------------------------------------------------------
@@ -174,7 +175,7 @@ def fixture_dependencies(spark, sf_dir):
 def plugin_edges(spark, sf_dir):
     f = L.test_tree(spark, sf_dir)[0]
     mods = L.files(spark, sf_dir)
-    plugins = f.filter("not is_test").select("path", F.explode(F.transform(F.sequence(F.lit(0), F.lit(9)), lambda i: F.concat(F.lit("g"), i.cast("string")))).alias("name"), F.lit(0).alias("ordinal"), F.lit(1).alias("line"), F.lit(1).alias("col"))
+    plugins = f.filter("not is_test").select("path", F.explode(F.transform(F.sequence(F.lit(0), F.lit(19)), lambda i: F.concat(F.lit("g"), i.cast("string")))).alias("name"), F.lit(0).alias("ordinal"), F.lit(1).alias("line"), F.lit(1).alias("col"))
     return T.plugin_edges(f.unionByName(mods.select(*f.columns)), plugins).select("dependent", "dependency", "name")
 
 
@@ -240,7 +241,7 @@ def change_exclusion(spark, sf_dir):
 def overlay_impact(spark, sf_dir):
     """Imports resolved with deleted modules standing in, then the impact of the deletions."""
     f = L.files(spark, sf_dir)
-    gone = cut(C.virtual_paths(L.changes(spark, sf_dir).filter("o_orderkey % 200 < 4").withColumn("is_config", F.lit(False))))
+    gone = cut(L.gone_files(spark, sf_dir))
     current = f.join(gone, "path", "left_anti")
     whole = current.unionByName(f.join(gone, "path", "left_semi"))
     live = L.imports(spark, sf_dir).join(gone, "path", "left_anti")

@@ -8,6 +8,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from rippleframe.operators.changes import virtual_paths
+
 FACT_FILE = "path string, module string, is_package boolean, is_test boolean"
 
 
@@ -31,10 +33,12 @@ def files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.unionByName(heads)
 
 
-def key_edges(spark: SparkSession, sf_dir: str, q: int = 10, layered: bool = True) -> DataFrame:
-    """(dependent, dependency) part keys of consecutive lines of an order with quantity up to q."""
-    lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_quantity")
-    a = lines.filter(F.col("l_quantity") <= q).select("l_orderkey", (F.col("l_linenumber") + 1).alias("l_linenumber"), F.col("l_partkey").alias("a"))
+def key_edges(spark: SparkSession, sf_dir: str, layered: bool = True, keep: Column | None = None) -> DataFrame:
+    """(dependent, dependency) part keys of consecutive lines of an order; `keep` is a condition on the
+    first line. Layered edges run from a key with the higher remainder by 8 to the lower, so they hold
+    no cycle; the others run as the lines do."""
+    lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_returnflag")
+    a = (lines if keep is None else lines.filter(keep)).select("l_orderkey", (F.col("l_linenumber") + 1).alias("l_linenumber"), F.col("l_partkey").alias("a"))
     pairs = a.join(lines.select("l_orderkey", "l_linenumber", F.col("l_partkey").alias("b")), ["l_orderkey", "l_linenumber"])
     if layered:
         pairs = pairs.filter(F.col("a") % 8 != F.col("b") % 8)
@@ -45,19 +49,23 @@ def key_edges(spark: SparkSession, sf_dir: str, q: int = 10, layered: bool = Tru
     return pairs.distinct()
 
 
-def path_edges(spark: SparkSession, sf_dir: str, q: int = 10, layered: bool = True) -> DataFrame:
+def path_edges(spark: SparkSession, sf_dir: str, layered: bool = True) -> DataFrame:
     names = files(spark, sf_dir).select("k", "path")
-    e = key_edges(spark, sf_dir, q, layered)
+    e = key_edges(spark, sf_dir, layered)
     e = e.join(names.select(F.col("k").alias("dependent"), F.col("path").alias("from")), "dependent").join(names.select(F.col("k").alias("dependency"), F.col("path").alias("to")), "dependency")
     return e.select(F.col("from").alias("dependent"), F.col("to").alias("dependency"))
 
 
+CHANGED_BRAND = "Brand#13"  # the changed files are the parts of one brand, about a 25th of the table
+
+
 def seeds(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "part").filter("p_partkey % 100 = 0 and p_partkey < 1000").select(F.col("p_partkey").alias("node"))
+    return table(spark, sf_dir, "part").filter(F.col("p_brand") == CHANGED_BRAND).select(F.col("p_partkey").alias("node"))
 
 
 def path_seeds(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return files(spark, sf_dir).filter("k % 100 = 0 and k < 1000").select(F.col("path").alias("node"))
+    path, _ = _named(F.col("p_partkey"), F.col("p_size") <= 5)
+    return table(spark, sf_dir, "part").filter(F.col("p_brand") == CHANGED_BRAND).select(path.alias("node"))
 
 
 def imports(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -110,10 +118,16 @@ def test_tree(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, D
 
 
 def changes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(o_orderkey, kind, path, previous_path) of each order."""
+    """(o_orderkey, kind, path, previous_path) of each order: the cheapest orders delete or rename, open
+    ones add, all others modify."""
     names = files(spark, sf_dir).filter("k is not null").select("k", "path")
     n = table(spark, sf_dir, "part").agg(F.count("*").alias("n"))
-    o = table(spark, sf_dir, "orders").join(F.broadcast(n)).select("o_orderkey", (F.col("o_custkey") % F.col("n")).alias("at"), ((F.col("o_custkey") + 1) % F.col("n")).alias("before"))  # a broadcast of one row
-    kind = F.element_at(F.array(*map(F.lit, ("Added", "Modified", "Deleted", "Renamed"))), (F.col("o_orderkey") % 4 + 1).cast("int"))
-    o = o.withColumn("kind", kind).join(names.select(F.col("k").alias("at"), "path"), "at").join(names.select(F.col("k").alias("before"), F.col("path").alias("previous_path")), "before")
+    kind = F.when(F.col("o_totalprice") < 3000, "Deleted").when(F.col("o_totalprice") < 6000, "Renamed").when(F.col("o_orderstatus") == "O", "Added").otherwise("Modified")
+    o = table(spark, sf_dir, "orders").join(F.broadcast(n)).select("o_orderkey", kind.alias("kind"), (F.col("o_custkey") % F.col("n")).alias("at"), ((F.col("o_custkey") + 1) % F.col("n")).alias("before"))  # a broadcast of one row
+    o = o.join(names.select(F.col("k").alias("at"), "path"), "at").join(names.select(F.col("k").alias("before"), F.col("path").alias("previous_path")), "before")
     return o.select("o_orderkey", "kind", "path", F.when(F.col("kind") == "Renamed", F.col("previous_path")).alias("previous_path"))
+
+
+def gone_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Paths that some change deleted or renamed away."""
+    return virtual_paths(changes(spark, sf_dir).withColumn("is_config", F.lit(False)))

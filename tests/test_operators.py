@@ -1,3 +1,4 @@
+import collections
 import re
 from collections import deque
 
@@ -8,31 +9,23 @@ from hypothesis import strategies as st
 from rippleframe.errors import ConfigError, GitError
 from rippleframe.functions.paths import glob_to_regex
 from rippleframe.operators import changes as C
-from rippleframe.operators import graph
 from rippleframe.operators.graph import reverse_closure, shortest_paths
 from rippleframe.operators.resolve import resolve
 from rippleframe.sources.git import decode_status
 from rippleframe.sources.inventory import normalize_excludes, normalize_roots
 
 
-@settings(max_examples=5, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@settings(max_examples=6, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
 @given(st.sets(st.tuples(st.integers(0, 9), st.integers(0, 9)), max_size=25))
 def test_closure_and_shortest_paths_against_bfs(spark, pairs):
-    check_traversals(spark, pairs, graph.LOCAL_EDGES)
+    compare_traversals(spark, pairs)
 
 
-@settings(max_examples=3, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
-@given(st.sets(st.tuples(st.integers(0, 9), st.integers(0, 9)), max_size=25))
-def test_distributed_traversals_against_bfs(spark, pairs):
-    check_traversals(spark, pairs, 0)
-
-
-def check_traversals(spark, pairs, most):
-    before, graph.LOCAL_EDGES = graph.LOCAL_EDGES, most
-    try:
-        compare_traversals(spark, pairs)
-    finally:
-        graph.LOCAL_EDGES = before
+@settings(max_examples=6, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@given(st.lists(st.integers(0, 9), min_size=3, max_size=14))
+def test_traversals_of_chains_against_bfs(spark, walk):
+    """Few edges, so that many nodes have one dependency and one dependent."""
+    compare_traversals(spark, set(zip(walk, walk[1:])))
 
 
 def compare_traversals(spark, pairs):
@@ -118,10 +111,27 @@ def test_resolution_rules(spark):
     }
 
 
-def test_null_ends_are_no_nodes_on_either_path(spark, monkeypatch):
-    edges = spark.createDataFrame([(1, 0), (None, 1), (2, None), (3, 1)], "dependent int, dependency int")
-    seeds, asked = spark.createDataFrame([(0,)], "node int"), spark.createDataFrame([(0, 2), (0, 3), (0, None)], "changed int, affected int")
-    for most in (graph.LOCAL_EDGES, 0):
-        monkeypatch.setattr(graph, "LOCAL_EDGES", most)
-        assert sorted(tuple(r) for r in reverse_closure(edges, seeds).collect()) == [(0, 1), (0, 3)]
-        assert [(r["affected"], r["path"]) for r in shortest_paths(edges, asked).collect()] == [(3, [3, 1, 0])]
+def test_null_ends_are_no_nodes(spark):
+    edges = spark.createDataFrame([(1, 0), (None, 1), (2, None), (3, 1), (3, 3), (None, None)], "dependent int, dependency int")
+    seeds, asked = spark.createDataFrame([(0,), (None,), (77,)], "node int"), spark.createDataFrame([(0, 2), (0, 3), (0, None), (None, 3), (5, 5)], "changed int, affected int")
+    assert sorted(tuple(r) for r in reverse_closure(edges, seeds).collect()) == [(0, 1), (0, 3)]
+    assert sorted((r["affected"], r["path"]) for r in shortest_paths(edges, asked).collect()) == [(3, [3, 1, 0]), (5, [5])]
+
+
+def test_a_long_chain_with_a_ring(spark):
+    """10,000 nodes in a row, the last of which depends on a ring; a second, shorter way over part of it."""
+    n = 10_000
+    edges = [(i + 1, i) for i in range(n)] + [(n + 6, 4000), (n + 7, n + 6), (4005, n + 7)] + [(n + 20 + i, n + 20 + (i + 1) % 5) for i in range(5)] + [(n, n + 20)]
+    frame = spark.createDataFrame(edges, "dependent int, dependency int")
+    reached = reverse_closure(frame, spark.createDataFrame([(0,), (9_990,), (n + 22,)], "node int")).groupBy("seed").count().collect()
+    assert {r["seed"]: r["count"] for r in reached} == {0: n + 2, 9_990: 10, n + 22: 5}
+    (found,) = shortest_paths(frame, spark.createDataFrame([(0, n)], "changed int, affected int")).collect()
+    assert list(found["path"]) == [*range(n, 4004, -1), n + 7, n + 6, *range(4000, -1, -1)]
+
+
+def test_many_seeds(spark):
+    """More seeds than a word of bits has, each at its own place of a chain with side branches."""
+    edges = [(i + 1, i) for i in range(200)] + [(1000 + i, i) for i in range(0, 200, 3)]
+    frame = spark.createDataFrame(edges, "dependent long, dependency long")
+    got = collections.Counter(r["seed"] for r in reverse_closure(frame, frame.selectExpr("dependency as node").distinct()).collect())
+    assert got == {i: 200 - i + sum(1 for j in range(0, 200, 3) if j >= i) for i in range(200)}
