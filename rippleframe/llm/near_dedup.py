@@ -46,8 +46,8 @@ PIVOTS = 2  # nodes of a bucket that all others meet first
 WHOLE = 16  # up to this size, all classes of a bucket are compared pair by pair, beyond it by blocks
 BLOCK = 2_000_000  # bytes of text in a block
 COMMON = 32  # shingles of more nodes are counted by matrix products, the others by their pairs
-CHUNK = 6_000_000  # bytes at a time
-WORD_LIMIT = 1_000_000  # entries of the word hash table of a worker process
+CHUNK = 2_000_000  # bytes at a time
+WORD_LIMIT = 200_000  # entries of the word hash table of a worker process; each task leaves it empty
 _A, _B, _C = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 _CODE_BITS = np.uint64(44)
 
@@ -169,6 +169,7 @@ def _sign(batches):
             number = pa.array(np.arange(at, at + b - a))
             at += b - a
             yield pa.RecordBatch.from_arrays([number, batch.column(0).slice(a, b - a), batch.column(1).slice(a, b - a), pa.array(nodes, pa.binary()), pa.array(found, pa.list_(pa.int64()))], ["row", "id", "key", "node", "bands"])
+    _hashes.clear()
 
 
 def _rehash(batches):
@@ -193,6 +194,7 @@ def _verify(threshold: float):
             c = [x.to_pylist() for x in batch.columns]
             close = [probability_jaccard(of(a, s), of(b, t)) >= threshold for a, b, s, t in zip(*c)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(close, pa.bool_())], ["a", "b", "linked"])
+        _hashes.clear()
 
     return run
 
@@ -275,6 +277,7 @@ def _links(threshold: float):
                 i, j = i[step:], j[step:]
                 apart = label[i] != label[j]
                 i, j = i[apart], j[apart]
+        _hashes.clear()
         return pa.table({"a": pa.array([min(f) for f in found], pa.binary()), "b": pa.array([max(f) for f in found], pa.binary())})
 
     return run
