@@ -7,26 +7,30 @@ its children's, which mixes all depths. Counts do not depend on the order of the
 tree is built from the distinct (context, byte) grams of the corpus: they are counted by
 tasks, merged by one shuffle, and evaluated subtree by subtree (all grams that share their
 last three context bytes meet in one partition); only the nodes of depth 0 to 2, at most
-65,793 contexts, pass through the driver. A text's score is the sum of the log10 conditional
-probabilities of its bytes and of one end mark. The grams go to the scoring tasks in blocks
-of bounded size, one pass over the rows a block.
+65,793 contexts of 255 decisions each whatever the corpus, pass through the driver. A text's
+score is the sum of the log10 conditional probabilities of its bytes and of one end mark.
+
+Scoring is one join, whatever the size of the model. Rows are dealt by hash into blocks of
+about `BLOCK_BYTES` of text. The distinct grams of a block, far fewer than its bytes, are
+joined with the model, and what they found meets the block's texts again, which are shuffled
+once for both. So no table of the whole model is ever in one place.
 
 Beside it stands a unigram word score with add-one smoothing. Its most frequent words are a
-bounded table in every task; rarer words are joined to the vocabulary by a shuffle.
+bounded table in every task; the rarer words of a block are joined with the vocabulary.
 
 Defined results: null texts are empty (they hold the end alone); rows with equal content are
-scored each; without training rows nothing is known and all estimates are the priors; an
-empty table gives no rows; other columns are not read.
+scored each; texts of any length are scored whole; without training rows nothing is known and
+all estimates are the priors; words of equal counts are taken in word order; an empty table
+gives no rows; other columns, whatever their names, are not read.
 """
 
 from __future__ import annotations
 
-import uuid
+import math
 from collections import Counter
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -34,10 +38,8 @@ from rippleframe.llm.common import LOWER_TABLE, materialize, slices
 
 DEPTH = 5
 TOP_WORDS = 65_536
-GRAM_BLOCK = 8_000_000  # grams in memory of a scoring task at a time
+BLOCK_BYTES = 8_000_000  # of text in a block
 CHUNK = 1_000_000  # bytes at a time
-_SLOTS = 24
-_HASH = np.uint64(0x9E3779B97F4A7C15)
 _LN10 = float(np.log(10))
 
 
@@ -205,62 +207,6 @@ def gram_scores(df: DataFrame, text_col: str, train: Column) -> DataFrame:
     return parts.mapInArrow(run, "code long, n long, score float")
 
 
-class GramTable:
-    """Scores of a block of grams, found through one slot table with a search for what shares a slot."""
-
-    def __init__(self, code: np.ndarray, n: np.ndarray, score: np.ndarray):
-        order = np.argsort(code)
-        self.code, self.score = code[order], np.append(score[order], np.float32(0))
-        self.slot = np.zeros(1 << _SLOTS, np.int32)
-        busy = np.argsort(n[order], kind="stable")  # the most frequent gram of a slot is written last
-        self.slot[self._slot(self.code[busy])] = busy
-
-    @staticmethod
-    def _slot(code: np.ndarray) -> np.ndarray:
-        return (code * _HASH) >> np.uint64(64 - _SLOTS)
-
-    def __call__(self, code: np.ndarray) -> np.ndarray:
-        if not len(self.code):
-            return np.zeros(len(code))
-        at = self.slot[self._slot(code)]
-        miss = np.flatnonzero(self.code[at] != code)
-        if len(miss):
-            want = code[miss]
-            place = np.searchsorted(self.code, want)
-            place[place == len(self.code)] = 0
-            at[miss] = np.where(self.code[place] == want, place, len(self.code))  # another block's gram adds 0
-        return self.score[at]
-
-
-_tables: dict[str, GramTable] = {}
-
-
-def _gram_table(name: str, packed) -> GramTable:
-    """One table a worker process; later tasks of the same block use it too."""
-    if name not in _tables:
-        _tables.clear()
-        _tables[name] = packed.value
-    return _tables[name]
-
-
-def _add_scores(packed):
-    """Adds to column `score` what this block's grams give each text."""
-    name = uuid.uuid4().hex
-
-    def run(batches):
-        grams_of = _gram_table(name, packed)
-        for batch in batches:
-            texts, add = _fold(batch.column("text")), []
-            for a, b in slices([len(t) for t in texts], CHUNK):
-                each = grams_of(grams(texts[a:b]))
-                size = np.array([len(t) + 1 for t in texts[a:b]])
-                add.append(np.add.reduceat(each.astype(float), np.cumsum(size) - size))
-            total = batch.column("score").to_numpy(zero_copy_only=False) + np.concatenate(add) if add else batch.column("score")
-            yield batch.set_column(batch.schema.get_field_index("score"), "score", pa.array(total))
-
-    return run
-
-
 def _count_words(batches):
     seen: Counter = Counter()
     for batch in batches:
@@ -277,51 +223,92 @@ def _words(seen: Counter):
     return pa.RecordBatch.from_arrays([pa.array(list(seen), pa.binary()), pa.array(list(seen.values()), pa.int64())], ["word", "n"])
 
 
-def _split_words(top, end_count: int):
-    """Rows a text: one of what the frequent words give, and one for each other word and its frequency."""
-    end = float(np.log10(end_count + 1))
+def _blocks(batches):
+    """(block, texts) of consecutive rows of one block; rows come sorted by block."""
+    for batch in batches:
+        texts, blocks = _fold(batch.column(1)), batch.column(0).to_numpy()
+        edge = [0, *(np.flatnonzero(blocks[1:] != blocks[:-1]) + 1).tolist(), len(blocks)]
+        for a, b in zip(edge, edge[1:]):
+            if a < b:
+                yield int(blocks[a]), texts[a:b]
+
+
+def _block_grams(batches):
+    """The distinct grams of each block."""
+    last, codes = None, []
+
+    def out():
+        code = np.unique(np.concatenate(codes))
+        return pa.RecordBatch.from_arrays([pa.array(np.full(len(code), last)), pa.array(code.astype(np.int64))], ["block", "code"])
+
+    for block, texts in _blocks(batches):
+        if block != last and codes:
+            yield out()
+            codes = []
+        last = block
+        for a, b in slices([len(t) for t in texts], CHUNK):
+            codes.append(np.unique(grams(texts[a:b])))
+        if len(codes) > 16:
+            codes = [np.unique(np.concatenate(codes))]
+    if codes:
+        yield out()
+
+
+def _block_words(top):
+    """The distinct words of each block outside the frequent ones."""
 
     def run(batches):
-        known = top.value
-        task, row = TaskContext.get().partitionId() << 33, 0
-        for batch in batches:
-            ids, held, score = batch.column("id"), batch.column("held_out").to_pylist(), batch.column("score").to_pylist()
-            uid, at, word, freq, part, tokens, hits = [], [], [], [], [], [], []
-            for i, text in enumerate(batch.column("text").to_pylist()):
-                words = (text or "").encode().translate(LOWER_TABLE).split()
-                total, sure, other = end, int(end_count > 0), []
-                for w, f in Counter(words).items():
-                    v = known.get(w)
-                    if v is None:
-                        other.append((w, f))
-                    else:
-                        total += v * f
-                        sure += f
-                uid += [task + row] * (1 + len(other))
-                row += 1
-                at += [i] * (1 + len(other))
-                word += [b" %d" % (task + row), *(w for w, _ in other)]  # no word holds a space: matches nothing, spreads evenly
-                freq += [0, *(f for _, f in other)]
-                part += [total] + [0.0] * len(other)
-                tokens += [len(words) + 1] + [0] * len(other)
-                hits += [sure] + [0] * len(other)
-                if len(uid) > 200_000:
-                    yield _rows(uid, ids, held, score, at, word, freq, part, tokens, hits)
-                    uid, at, word, freq, part, tokens, hits = [], [], [], [], [], [], []
-            if uid:
-                yield _rows(uid, ids, held, score, at, word, freq, part, tokens, hits)
+        known, last, words = top.value, None, set()
+
+        def out():
+            return pa.RecordBatch.from_arrays([pa.array(np.full(len(words), last)), pa.array(sorted(words), pa.binary())], ["block", "word"])
+
+        for block, texts in _blocks(batches):
+            if block != last and words:
+                yield out()
+                words = set()
+            last = block
+            for t in texts:
+                words.update(w for w in t.split() if w not in known)
+        if words:
+            yield out()
 
     return run
 
 
-def _rows(uid, ids, held, score, at, word, freq, part, tokens, hits):
-    first = np.array(tokens) > 0
-    row = np.array(at)
-    mask = pa.array(np.where(first, row, 0), mask=~first)
-    return pa.RecordBatch.from_arrays(
-        [pa.array(uid, pa.int64()), ids.take(mask), pa.array(held, pa.bool_()).take(mask), pa.array(score, pa.float64()).take(mask), pa.array(word, pa.binary()), pa.array(freq, pa.int32()), pa.array(part, pa.float64()), pa.array(tokens, pa.int64()), pa.array(hits, pa.int64())],
-        ["uid", "id", "held_out", "score", "word", "freq", "part", "n_tokens", "n_known"],
-    )
+def _score_block(top, end_count: int, base: float, shape: list[str]):
+    """Scores of a block's rows from what its grams and rarer words found. `base` is the log10 of the
+    smoothed number of all tokens."""
+    end = math.log10(end_count + 1)
+
+    def run(rows: pa.Table, found: pa.Table) -> pa.Table:
+        known = top.value
+        code, score, word, count = (found[c] for c in ("code", "score", "word", "n"))
+        is_word = np.array(word.is_valid())
+        rare = dict(zip(word.filter(pa.array(is_word)).to_pylist(), count.filter(pa.array(is_word)).to_pylist()))
+        code, score = code.filter(pa.array(~is_word)).to_numpy().astype(np.uint64), score.filter(pa.array(~is_word)).to_numpy()
+        order = np.argsort(code)
+        code, score = code[order], score[order].astype(float)
+        texts, total = _fold(rows["text"]), []
+        for a, b in slices([len(t) for t in texts], CHUNK):
+            each = score[np.searchsorted(code, grams(texts[a:b]))]
+            size = np.array([len(t) + 1 for t in texts[a:b]])
+            total.append(np.add.reduceat(each, np.cumsum(size) - size))
+        tokens, hits, part = [], [], []
+        for text in texts:
+            words, sum_, sure = text.split(), end, int(end_count > 0)
+            for w, f in Counter(words).items():
+                v = known.get(w)
+                if v is None and w in rare:
+                    v = math.log10(rare[w] + 1)
+                if v is not None:
+                    sum_ += v * f
+                    sure += f
+            tokens.append(len(words) + 1), hits.append(sure), part.append(sum_ - (len(words) + 1) * base)
+        columns = [rows["id"], rows["held_out"], pa.array(tokens, pa.int64()), pa.array(hits, pa.int64()), pa.array(part, pa.float64()), pa.array(np.concatenate(total) if total else [], pa.float64())]
+        return pa.table(columns, names=shape)
+
+    return run
 
 
 def score_texts(df: DataFrame, held_out: Column, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -329,33 +316,23 @@ def score_texts(df: DataFrame, held_out: Column, id_col: str = "doc_id", text_co
     for each row; rows with `held_out` are scored but not learned from."""
     spark = df.sparkSession
     shown = F.coalesce(held_out, F.lit(False))
-    train = df.filter(~shown)
-    vocabulary = materialize(train.select(F.col(text_col).alias("text")).mapInArrow(_count_words, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n")))
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    vocabulary = materialize(df.filter(~shown).select(F.col(text_col).alias("text")).mapInArrow(_count_words, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n")))
     distinct, words = vocabulary.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
-    ends = train.count()
-    total, size = words + ends, distinct + (ends > 0)
+    ends, size = df.agg(F.count_if(~shown), F.coalesce(F.sum(F.octet_length(text)), F.lit(0))).first()
+    total, kinds = words + ends, distinct + (ends > 0)
     top = vocabulary.orderBy(F.desc("n"), "word").limit(TOP_WORDS).toArrow()
     known = spark.sparkContext.broadcast({w: float(v) for w, v in zip(top["word"].to_pylist(), np.log10(top["n"].to_numpy() + 1))})
-
     model = materialize(gram_scores(df, text_col, ~shown))
+
+    blocks = max(1, -(-size // BLOCK_BYTES))
+    rows = df.select(F.pmod(F.xxhash64(F.col(id_col), text), F.lit(blocks)).alias("block"), F.col(id_col).alias("id"), text.alias("text"), shown.alias("held_out"))
+    rows = rows.repartition("block").sortWithinPartitions("block")  # one exchange for the keys and for the scoring
+    texts = rows.select("block", "text")
+    scored = texts.mapInArrow(_block_grams, "block long, code long").join(model.select("code", "score").hint("shuffle_hash"), "code").select("block", "code", "score", F.lit(None).cast("binary").alias("word"), F.lit(None).cast("long").alias("n"))
+    counted = texts.mapInArrow(_block_words(known), "block long, word binary").join(vocabulary.hint("shuffle_hash"), "word").select("block", F.lit(None).cast("long").alias("code"), F.lit(None).cast("float").alias("score"), "word", "n")
+    shape = ["id", "held_out", "n_tokens", "n_known", "base_score", "score"]
+    run = _score_block(known, ends, math.log10(total + kinds + 1), shape)
     kind = df.schema[id_col].dataType.simpleString()
-    rows = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), shown.alias("held_out"), F.lit(0.0).alias("score"))
-    blocks = max(1, -(-model.count() // GRAM_BLOCK))
-    for block in range(blocks):
-        part = (model if blocks == 1 else model.filter(F.pmod(F.xxhash64("code"), F.lit(blocks)) == block)).toArrow()
-        packed = spark.sparkContext.broadcast(GramTable(part["code"].to_numpy().astype(np.uint64), part["n"].to_numpy(), part["score"].to_numpy()))
-        add = _add_scores(packed)
-        if block < blocks - 1:
-            rows = rows.mapInArrow(add, rows.schema)
-    split = _split_words(known, ends)
-    parts = rows.mapInArrow(lambda batches: split(add(batches)), f"uid long, id {kind}, held_out boolean, score double, word binary, freq int, part double, n_tokens long, n_known long")
-    counts = vocabulary.hint("shuffle_hash")
-    hit = F.col("n").isNotNull()
-    parts = parts.join(counts, "word", "left").select(
-        "uid", "id", "held_out", "score", "n_tokens",
-        (F.col("n_known") + F.when(hit, F.col("freq")).otherwise(0)).alias("n_known"),
-        (F.col("part") + F.when(hit, F.col("freq") * F.log10(F.col("n") + 1)).otherwise(0.0)).alias("part"),
-    )
-    out = parts.groupBy("uid").agg(F.max("id").alias(id_col), F.max("held_out").alias("held_out"), F.sum("n_tokens").alias("n_tokens"), F.sum("n_known").alias("n_known"), F.sum("part").alias("part"), F.max("score").alias("score"))
-    base = F.col("part") - F.col("n_tokens") * F.log10(F.lit(float(total + size + 1)))
-    return out.select(id_col, "held_out", "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"), base.alias("base_score"), "score")
+    out = rows.groupBy("block").cogroup(scored.unionByName(counted).groupBy("block")).applyInArrow(run, f"id {kind}, held_out boolean, n_tokens long, n_known long, base_score double, score double")
+    return out.select(F.col("id").alias(id_col), "held_out", "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"), "base_score", "score")
