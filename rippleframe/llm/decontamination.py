@@ -3,12 +3,14 @@
 Every window of ten consecutive words of a benchmark item (the whole item where it has
 fewer) becomes a pattern over normalised text. A document is normalised once, scanned once,
 and its hits are mapped back to word numbers and to character offsets of the original.
-The automaton is bounded by `BLOCK_WINDOWS`; a larger benchmark is cut into several, which
-pass over the rows one after the other within the same stage.
+The automaton is bounded by `BLOCK_BYTES` of patterns, about a hundred megabytes of nodes; a
+larger benchmark is cut into several, each broadcast once, which pass over the rows one after
+the other within the same stage.
 
 Defined results: null texts have no words; items without words match nothing; a null item
 id is listed as the empty string; equal item ids count once; repeated rows are scanned each;
-empty tables give no rows or no hits; other columns are not read.
+texts of any length are scanned whole; empty tables give no rows or no hits; other columns,
+whatever their names, are not read, or pass unread where rows are dropped.
 """
 
 from __future__ import annotations
@@ -25,7 +27,7 @@ from pyspark.sql import functions as F
 from rippleframe.llm.common import UPPER, LOWER, fold_words
 
 WINDOW = 10
-BLOCK_WINDOWS = 200_000
+BLOCK_BYTES = 2_000_000  # of patterns in one automaton (one item's at least)
 _WORD = re.compile("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+")
 _FOLD = str.maketrans(UPPER, LOWER)
 _built: dict[str, object] = {}
@@ -39,15 +41,17 @@ def item_windows(words: list[bytes], n: int = WINDOW) -> list[bytes]:
     return [b" ".join(words[i : i + n]) for i in range(len(words) - n + 1)]
 
 
-def window_blocks(items, n: int = WINDOW, most: int = BLOCK_WINDOWS):
-    """Blocks of {window: item ids} of at most `most` windows (one item at least)."""
+def window_blocks(items, n: int = WINDOW, most: int = BLOCK_BYTES):
+    """Blocks of {window: item ids}, closed after the item with which they reach `most` bytes."""
     block: dict[bytes, set[str]] = {}
+    held = 0
     for item, text in items:
         for w in item_windows(fold_words((text or "").encode()), n):
+            held += 0 if w in block else len(w)
             block.setdefault(w, set()).add("" if item is None else str(item))
-        if len(block) >= most:
+        if held >= most:
             yield block
-            block = {}
+            block, held = {}, 0
     if block:
         yield block
 
@@ -97,9 +101,15 @@ _FOUND = "id {}, n_words long, n_hit long, spans array<struct<start:int,stop:int
 _SPANS = pa.list_(pa.struct([("start", pa.int32()), ("stop", pa.int32())]))
 
 
-def _pass(blob: bytes, first: bool, last: bool):
+def _packed(df: DataFrame, benchmark: DataFrame, n: int, item_col: str, item_text_col: str, most: int) -> list:
+    """The benchmark's blocks, each a broadcast of at most about `most` bytes."""
+    items = ((r[0], r[1]) for r in benchmark.select(item_col, item_text_col).toLocalIterator())
+    return [df.sparkSession.sparkContext.broadcast(pickle.dumps(b)) for b in window_blocks(items, n, most)]
+
+
+def _pass(blob, first: bool, last: bool):
     def run(batches):
-        auto = _automaton(blob)
+        auto = _automaton(blob.value)
         for batch in batches:
             ids, texts = batch.column(0), batch.column(1).to_pylist()
             before = [(pickle.loads(b) if b else ([], set())) for b in batch.column(2).to_pylist()] if not first else [([], set())] * len(texts)
@@ -119,10 +129,9 @@ def _pass(blob: bytes, first: bool, last: bool):
     return run
 
 
-def find_contamination(df: DataFrame, benchmark: DataFrame, n: int = WINDOW, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", block_windows: int = BLOCK_WINDOWS) -> DataFrame:
+def find_contamination(df: DataFrame, benchmark: DataFrame, n: int = WINDOW, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """`id_col`, n_words, n_hit, spans (character offsets), item_ids for each row of `df`."""
-    items = ((r[0], r[1]) for r in benchmark.select(item_col, item_text_col).toLocalIterator())
-    blobs = [pickle.dumps(b) for b in window_blocks(items, n, block_windows)] or [pickle.dumps({b"\x00": set()})]
+    blobs = _packed(df, benchmark, n, item_col, item_text_col, block_bytes) or [df.sparkSession.sparkContext.broadcast(pickle.dumps({b"\x00": set()}))]
     kind = df.schema[id_col].dataType.simpleString()
     out = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     for i, blob in enumerate(blobs):
@@ -131,13 +140,12 @@ def find_contamination(df: DataFrame, benchmark: DataFrame, n: int = WINDOW, id_
     return out.withColumnRenamed("id", id_col)
 
 
-def drop_contaminated(df: DataFrame, benchmark: DataFrame, n: int = WINDOW, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
+def drop_contaminated(df: DataFrame, benchmark: DataFrame, n: int = WINDOW, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """Rows of `df` in which no window occurs, all columns kept."""
-    items = ((r[0], r[1]) for r in benchmark.select(item_col, item_text_col).toLocalIterator())
-    for blob in [pickle.dumps(b) for b in window_blocks(items, n)]:
+    for blob in _packed(df, benchmark, n, item_col, item_text_col, block_bytes):
 
         def run(batches, blob=blob):
-            auto = _automaton(blob)
+            auto = _automaton(blob.value)
             for batch in batches:
                 keep = [not scan(fold_words((t or "").encode()), auto)[0] for t in batch.column(text_col).to_pylist()]
                 yield batch.filter(pa.array(keep, pa.bool_()))

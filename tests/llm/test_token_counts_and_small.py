@@ -101,14 +101,14 @@ def brute_contamination(text, items):
     return len(w), len(hit), sorted(found)
 
 
-@pytest.mark.parametrize("block", [3, 100_000])
+@pytest.mark.parametrize("block", [90, 100_000])
 def test_contamination_in_one_or_several_automata(spark, block):
     words = [f"w{i}" for i in range(30)]
     items = [(1, " ".join(words[:14])), (2, "Short ITEM"), (3, None), (10, " ".join(words[5:25])), (None, "none here now"), (1, " ".join(words[:14]))]
     texts = [" ".join(words), "a short, item; none HERE now", None, "", " ".join(["w1"] * 50), "x " * 500 + ", ".join(words[4:16]), "shorter items"]
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").selectExpr("*", "1 as hits", "'q' as spans")
     bench = spark.createDataFrame(items, "item_id long, text string")
-    got = decontamination.find_contamination(df, bench, block_windows=block).collect()
+    got = decontamination.find_contamination(df, bench, block_bytes=block).collect()
     assert len(got) == len(texts)
     for r in got:
         text = texts[r["doc_id"]]
