@@ -13,8 +13,8 @@ agree on 200 - d bytes to the right and d bytes to the left share the window tha
 bytes before the anchor; this is exact, whatever the hashes do.
 
 Defined results: a null text is empty; texts of under `LENGTH` bytes lose nothing; repeated
-rows count as occurrences of each other, null ids are ordinary; an empty table gives no
-rows; other columns are not read.
+rows count as occurrences of each other, null ids are ordinary; texts of any length are read
+whole; an empty table gives no rows; other columns, whatever their names, are not read.
 """
 
 from __future__ import annotations
@@ -371,7 +371,7 @@ def find_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     rows = df.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     rows = rows.select(F.xxhash64("id", "text").alias("k1"), F.hash("text", "id").cast("long").alias("k2"), "id", "text")
     found = materialize(rows.select("k1", "k2", "text").mapInArrow(_anchor_rows, "hash long, k1 long, k2 long, at int"))
-    twice = found.groupBy("hash").count().filter("count > 1").select("hash")
+    twice = materialize(found.groupBy("hash").count().filter("count > 1").select("hash"))  # written, so that the join can split a hot hash
 
     def around(places: DataFrame) -> DataFrame:
         """The rows that hold these places; the one exchange of the texts serves all joins with them."""
