@@ -8,7 +8,8 @@ joined to that table and summed. No shuffle, no id sequence of a document, and t
 is emptied at `TABLE_LIMIT` entries (which only means counting again, never another result).
 
 Defined results: null text counts as empty (0 bytes, 0 tokens); repeated rows are counted
-each; an empty table gives an empty result; other columns of the input are not read.
+each; texts of any length are counted whole; an empty table gives an empty result; other
+columns of the input, whatever their names, are not read.
 """
 
 from __future__ import annotations
