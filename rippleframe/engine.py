@@ -4,17 +4,23 @@
     engine.graph(); engine.impact(["src/a.py"]); engine.plan(paths=[...]); engine.why("src/a.py", "tests/test_a.py")
 
 Results equal those of a fresh full build whatever the index held. Only files whose content hash is
-new are parsed; the relations are set operations over all files."""
+new are parsed, only importers that may mean something else are resolved again (plans.build.refresh),
+and only the rows of their owners are written."""
 
 from __future__ import annotations
 
+import functools
+import hashlib
 import os
 import time
 from dataclasses import dataclass, field
 
+from py4j.protocol import Py4JJavaError
+from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from rippleframe import schemas
 from rippleframe.errors import AnalysisError, ImportParseError, ModuleResolutionError, UsageError
 from rippleframe.functions.paths import display_import
 from rippleframe.operators import changes as C
@@ -29,14 +35,39 @@ from rippleframe.sources import git, inventory
 from rippleframe.sources.facts import fact_rows, parse_files
 
 
+READ_FAILURES = (OSError, KeyError, PySparkException, Py4JJavaError)
+
+
+def _recovering(question):
+    """A question whose stored tables can't be read any more is asked again of a full build."""
+
+    @functools.wraps(question)
+    def ask(self, *args, **options):
+        try:
+            return question(self, *args, **options)
+        except READ_FAILURES as e:
+            if self.work.kind == "full" or "tables" in options:
+                raise
+            names = inventory.list_python_files(self.root, list(self.config.exclude))
+            self.tables = self._whole(self.spark, self.root, self.config, names, self.config.roots(names))
+            self.work = Work(reason="storage_failure", cause=str(e).split("\n")[0], parsed=len(names))
+            return question(self, *args, **options)
+
+    return ask
+
+
 @dataclass
 class Work:
     """What a build did."""
 
     kind: str = "full"
     reason: str | None = None
+    cause: str | None = None
+    hashed: int = 0
     parsed: int = 0
     reused: int = 0
+    resolved: int = 0
+    records: int = 0
     edges_added: int = 0
     edges_removed: int = 0
     generation: int = 0
@@ -72,79 +103,68 @@ class Engine:
         inventory.check_roots(config, root, names)
         roots = config.roots(names)
         store = I.IndexStore(index_dir) if index_dir else None
-        print_of = config.fingerprint() + ":" + ",".join(roots)
-        work = Work(reason=store.why_not(print_of) if store else "disabled")
+        facts_of = {"config": config.fingerprint(), "roots": roots, "repository": hashlib.sha256(root.encode()).hexdigest()}
+        work = Work(reason=store.why_not(**facts_of) if store else "disabled")
         now = git.baseline(root) if store else None
         if store and work.reason is None and now is None:
             work.reason = "no_baseline"
         if work.reason is None:
             try:
-                return cls._refresh(spark, root, config, store, names, roots, now, print_of, work, began)
-            except AnalysisError:
-                raise
-            except Exception:  # the stored tables can't be read: the answer comes from a full build
-                work = Work(reason="read_failure")
-        found = cut(inventory.scan(spark, root, paths=names))
-        facts = cut(parse_files(found.filter("source is not null")))
-        files = B.file_table(found, roots, list(config.test_roots))
-        _check(files, facts, found.filter("source is null"))
-        tables = cls._cut(B.relate(cut(files), facts))
-        work.parsed = len(names)
-        if store:
-            work.generation = store.commit({n: getattr(tables, n) for n in B.Tables.NAMES}, fingerprint=print_of, baseline=now)
+                return cls._refresh(spark, root, config, store, names, roots, now, work, began)
+            except READ_FAILURES as e:  # the stored tables can't be read: the answer comes from a full build
+                work = Work(reason="read_failure", cause=str(e).split("\n")[0])
+        tables = cls._whole(spark, root, config, names, roots)
+        work.parsed = work.hashed = work.resolved = len(names)
+        if store and work.reason != "locked":
+            work.generation, _ = store.commit({n: getattr(tables, n) for n in B.Tables.NAMES}, baseline=now, **facts_of)
             work.written = True
         work.seconds["build"] = time.time() - began
         return cls(spark, root, config, tables, work)
 
-    @staticmethod
-    def _cut(t: B.Tables) -> B.Tables:
-        t.resolutions, t.exports, t.evidence = cut(t.resolutions), cut(t.exports), cut(t.evidence)
-        t.edges, t.candidates = cut(G.edges_of(t.evidence)), cut(t.candidates)
-        return t
+    @classmethod
+    def _whole(cls, spark, root, config, names, roots) -> B.Tables:
+        found = cut(inventory.scan(spark, root, paths=names))
+        facts = cut(parse_files(found.filter("source is not null")))
+        files = B.file_table(found, roots, list(config.test_roots))
+        _check(files, facts, found.filter("source is null"))
+        return B.written(B.relate(cut(files), facts))
 
     @classmethod
-    def _refresh(cls, spark, root, config, store, names, roots, now, print_of, work, began) -> "Engine":
+    def _refresh(cls, spark, root, config, store, names, roots, now, work, began) -> "Engine":
         old = B.Tables(*(store.read(spark, n) for n in B.Tables.NAMES))
-        work.kind, before = "incremental", store.manifest()["baseline"]
+        manifest = store.manifest()
+        before = manifest["baseline"]
         known = set(r[0] for r in old.files.select("path").toLocalIterator())
-        maybe = [p for p in git.delta_paths(root, before, now)]
         present = set(names)
         gone, fresh = sorted(known - present), present - known
-        look = sorted((set(maybe) & present) | fresh)
-        read = cut(inventory.scan(spark, root, paths=look)) if look else spark.createDataFrame([], "path string, size long, modified_ns long, source string, content_hash string")
+        look = sorted((set(git.delta_paths(root, before, now)) & present) | fresh)
+        read = cut(inventory.scan(spark, root, paths=look)) if look else spark.createDataFrame([], schemas.INVENTORY)
         changed = cut(read.join(old.files.select("path", "content_hash"), ["path", "content_hash"], "left_anti"))
         touched = [r[0] for r in changed.select("path").collect()]
-        work.parsed, work.reused = len(touched), len(present) - len(touched)
+        work.hashed, work.parsed, work.reused = len(look), len(touched), len(present) - len(touched)
         if not touched and not gone:
-            work.kind, work.generation = "unchanged", store.manifest()["generation"]
+            work.kind, work.generation = "unchanged", manifest["generation"]
             if before != now:
                 store.note(baseline=now)
             work.seconds["build"] = time.time() - began
             return cls(spark, root, config, old, work)
-        new_facts = cut(parse_files(changed.filter("source is not null")))
+        work.kind = "incremental"
         keys = spark.createDataFrame([(p,) for p in [*touched, *gone]], "path string")
-        files = cut(I.replace_rows(old.files, keys, B.file_table(changed, roots, list(config.test_roots))))
-        facts = cut(I.replace_rows(old.facts, keys, new_facts))
-        _check(files, new_facts, changed.filter("source is null"))
-        if not gone and not fresh and cls._same_facts(old.facts, new_facts):
-            tables = B.Tables(files, facts, old.resolutions, old.exports, old.evidence, old.edges, old.candidates)
-        else:
-            tables = cls._cut(B.relate(files, facts))
-            moved = {r["change"]: r["n"] for r in G.edge_mutations(old.edges, tables.edges).groupBy("change").agg(F.count("*").alias("n")).collect()}
-            work.edges_added, work.edges_removed = moved.get("added", 0), moved.get("removed", 0)
-        work.generation = store.commit({n: getattr(tables, n) for n in B.Tables.NAMES}, fingerprint=print_of, baseline=now)
+        new_facts = cut(parse_files(changed.filter("source is not null")))
+        new_files = cut(B.file_table(changed, roots, list(config.test_roots)))
+        _check(I.replace_rows(old.files, keys, new_files), new_facts, changed.filter("source is null"))
+        done = B.refresh(old, keys, new_files, new_facts)
+        work.resolved, work.edges_added, work.edges_removed = done.resolved, done.edges_added, done.edges_removed
+        kept = {k: manifest[k] for k in ("config", "roots", "repository")}
+        full = {n: getattr(done.tables, n) for n in B.Tables.NAMES}
+        work.generation, work.records = store.commit(done.whole, done.parts, full, baseline=now, **kept)
         work.written = True
         work.seconds["build"] = time.time() - began
-        return cls(spark, root, config, tables, work)
-
-    @staticmethod
-    def _same_facts(old: DataFrame, new: DataFrame) -> bool:
-        """Whether the parsed facts of the changed files are what they were: then no relation moves."""
-        side = lambda df: df.select("path", F.xxhash64(*[c for c in df.columns if c != "path"]).alias("h"))
-        return not side(new).join(side(old), ["path", "h"], "left_anti").limit(1).count()
+        return cls(spark, root, config, done.tables, work)
 
     # -- questions --------------------------------------------------------------------------
 
+    @_recovering
     def graph(self) -> dict:
         return M.graph_summary(self.tables.files, self.tables.resolutions, self.tables.evidence).first().asDict()
 
@@ -184,6 +204,7 @@ class Engine:
         changed = seeds.join(t.files, F.col("node") == F.col("path"), "left_semi")
         return M.impact(t.edges, self.tables.files, seeds, pairs), pairs, M.full_validation(changed, pairs, reasons)
 
+    @_recovering
     def impact(self, paths: list[str], tables: B.Tables | None = None, known: bool = False) -> dict:
         paths = sorted(set(paths)) if known else self._known(paths)
         rows, _, full = self.impact_frames(paths, tables)
@@ -202,6 +223,7 @@ class Engine:
     def plan(self, paths: list[str]) -> dict:
         return report.plan_dict(self.impact(paths))
 
+    @_recovering
     def why(self, changed: str, affected: str, tables: B.Tables | None = None, known: bool = False) -> dict:
         t = tables or self.tables
         if not known:
@@ -225,7 +247,7 @@ def overlay(engine: Engine, virtual: DataFrame) -> B.Tables:
     names = [r[0] for r in t.files.select("path").union(gone.select("path")).filter("path like 'src/%'").limit(1).collect()]
     ghosts = B.file_table(gone, engine.config.roots(names), list(engine.config.test_roots))
     ghosts = ghosts.join(t.files.select("module"), "module", "left_anti").select(*t.files.columns)
-    return Engine._cut(B.relate(cut(t.files.unionByName(ghosts)), t.facts))
+    return B.written(B.relate(cut(t.files.unionByName(ghosts)), t.facts))
 
 
 class GitAnalysis:
@@ -234,7 +256,7 @@ class GitAnalysis:
     def __init__(self, engine: Engine, base: str):
         self.engine, spark = engine, engine.spark
         changes = git.git_changes(spark, engine.root, base)
-        self.changes = cut(C.exclude_changes(C.relevant_changes(changes), list(engine.config.exclude)))
+        self.changes = cut(C.ordered(C.exclude_changes(C.relevant_changes(changes), list(engine.config.exclude))))
         self.configuration = sorted(r[0] for r in C.configuration_paths(self.changes).collect())
         self.paths = sorted(r[0] for r in C.analysis_paths(self.changes).collect())
         virtual = C.virtual_paths(self.changes)

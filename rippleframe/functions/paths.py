@@ -96,7 +96,7 @@ def discoverable(path: Column, patterns: list[str] = ()) -> Column:
     """A `.py` path outside the ignored directories and the exclusions."""
     parts = F.split(path, "/")
     ignored = F.exists(F.slice(parts, 1, F.greatest(F.size(parts) - 1, F.lit(0))), lambda p: p.isin(*IGNORED_DIRECTORIES))
-    return path.endswith(".py") & ~ignored & ~excluded(path, list(patterns))
+    return path.endswith(".py") & (F.element_at(parts, -1) != ".py") & ~ignored & ~excluded(path, list(patterns))
 
 
 def display_import(kind: Column, module: Column, name: Column, level: Column, api: Column, package: Column) -> Column:

@@ -24,6 +24,17 @@ def shared_dir(spark: SparkSession) -> str:
     return jsc.getCheckpointDir().get()
 
 
+def folder(spark: SparkSession, name: str) -> str:
+    """A new folder in the shared one for files that Python reads and writes, which goes with `release`."""
+    at = shared_dir(spark)
+    scheme, _, rest = at.partition(":")
+    if rest and scheme != "file":
+        raise RuntimeError(f"Python cannot write files to {at}: spark.checkpoint.dir must be a mounted folder")
+    path = "/" + (rest or at).lstrip("/") + f"/{name}-{uuid.uuid4().hex}"
+    _written.setdefault(spark.sparkContext.applicationId, []).append("file://" + path)
+    return path
+
+
 def cut(df: DataFrame) -> DataFrame:
     """The same rows as a written table: survives lost executors, ends the lineage."""
     spark = df.sparkSession

@@ -137,7 +137,12 @@ FROM changes WHERE NOT {_IN} OR kind = 'Renamed' AND NOT {_PIN}""",
     "summary_delta": f"""WITH {IMPORTS}, kept AS (SELECT * FROM files WHERE coalesce(k % 10, 0) <> 2) SELECT (SELECT count(*) FROM kept) AS files, (SELECT count(DISTINCT module) FROM kept) AS modules,
   (SELECT count(*) FROM (SELECT DISTINCT dependent, dependency FROM import_rows WHERE k % 10 <> 2)) AS import_edges, (SELECT count(*) FROM kept WHERE is_test) AS tests,
   (SELECT count(*) FROM imports i WHERE k % 10 <> 2 AND NOT EXISTS (SELECT 1 FROM hits h WHERE h.path = i.path AND h.ordinal = i.ordinal)) AS unresolved_imports""",
-    "incremental_equals_full": f"WITH {IMPORTS} SELECT DISTINCT dependent, dependency FROM import_rows WHERE k % 10 <> 3 OR ordinal % 2 = 1",
+    "incremental_equals_full": f"""WITH {IMPORTS}, {CHANGES.removeprefix(FILES + ', ')}, {GONE} SELECT DISTINCT dependent, dependency FROM import_rows JOIN part ON p_partkey = k
+WHERE (p_brand <> 'Brand#13' OR ordinal % 2 = 1) AND dependent NOT IN (SELECT path FROM gone) AND dependency NOT IN (SELECT path FROM gone)""",
+    "chain_impact": f"WITH {SEEDS} SELECT p_partkey AS node, count(*) AS n_causes, min(seeds.node) AS first_cause, max(seeds.node) AS last_cause FROM part JOIN seeds ON seeds.node < p_partkey GROUP BY p_partkey",
+    "scan_inventory": f"""WITH {IMPORTS}, lines AS (SELECT path, ordinal, CASE WHEN kind = 'import' THEN 'import ' || module ELSE 'from ' || repeat('.', level) || coalesce(module, '') || ' import ' || name END AS line FROM imports),
+  sources AS (SELECT path, string_agg(line, chr(10) ORDER BY ordinal) || chr(10) AS source FROM lines GROUP BY path),
+  tree AS (SELECT path, coalesce(source, '') AS source FROM files LEFT JOIN sources USING (path)) SELECT path, strlen(source) AS size, sha256(source) AS content_hash FROM tree""",
     "bench_statistics": "SELECT event_type, count(value) AS n, min(value) AS min, max(value) AS max, quantile_cont(value, 0.25) AS p25, quantile_cont(value, 0.5) AS median, quantile_cont(value, 0.75) AS p75, quantile_cont(value, 0.95) AS p95 FROM events GROUP BY event_type",
     "truncated_listing": f"WITH {FILES} SELECT path, (SELECT count(*) FROM files) AS total, greatest((SELECT count(*) FROM files) - 25, 0) AS more FROM files ORDER BY path LIMIT 25",
 }

@@ -73,7 +73,8 @@ def summary_delta(previous: DataFrame, removed: DataFrame, added: DataFrame) ->
 def truncated(listing: DataFrame, column: str, limit: int = 25) -> DataFrame:
     """The first rows in order and how many there are: the human listing's cut."""
     total = listing.agg(F.count("*").alias("total"))
-    return listing.select(column).orderBy(column).limit(limit).join(F.broadcast(total)).select(column, "total", F.greatest(F.col("total") - limit, F.lit(0)).alias("more"))  # a broadcast of one row
+    first = listing.select(column).orderBy(column).limit(limit).join(F.broadcast(total))  # a broadcast of one row
+    return first.select(column, "total", F.greatest(F.col("total") - limit, F.lit(0)).alias("more")).orderBy(column)
 
 
 def benchmark_statistics(rows: DataFrame, keys: list[str], value: str) -> DataFrame:

@@ -84,3 +84,33 @@ def impact_text(impact: dict, all_rows: bool = False) -> str:
     if impact["full"]:
         parts.append(f"Full validation is required: {impact['full'][0]} ({', '.join(impact['full'][1])})")
     return "\n\n".join(parts) + "\n"
+
+
+def why_text(found: dict) -> str:
+    """The path, and below each step where the dependency is stated."""
+    lines = [found["path"][0]] if found["path"] else []
+    for step in found["steps"]:
+        lines.append(f"  -> {step['dependency']}")
+        lines += [f"       {step['dependent']}:{i['line']}:{i['column']} {statement(i['import'])}" for i in step["imports"]]
+        lines += [f"       {step['dependent']}:{e['line']}:{e['column']} {e['kind']}" + (f" {e['name']}" if e.get("name") else "") for e in step.get("evidence", ())]
+    return "\n".join(lines)
+
+
+def statement(i: dict) -> str:
+    if i["kind"] == "import":
+        return f"import {i['module']}"
+    if i["kind"] == "from":
+        return f"from {'.' * (i['level'] or 0)}{i['module'] or ''} import {i['name']}"
+    return f"{i['api']}({i['module']!r})"
+
+
+def inspection_json(summary: dict, parts: dict[str, list[dict]]) -> str:
+    return _pretty({"schema_version": SCHEMA_VERSION, "summary": summary, **parts})
+
+
+def inspection_text(summary: dict, parts: dict[str, list[dict]], all_rows: bool = False) -> str:
+    edges = [f"{e['dependent']} -> {e['dependency']} ({', '.join(sorted({x['kind'] for x in e['evidence']}))})" for e in parts["edges"]]
+    modules = [f"{m['module']} ({m['path']}): {len(m['dependencies'])} dependencies, {len(m['dependents'])} dependents" for m in parts["modules"]]
+    traces = [f"{t['path']}:{t['line']}:{t['col']} {t['status']}: {', '.join(t['resolved']) or '-'} of {', '.join(t['candidates']) or '-'}" for t in parts["traces"]]
+    listed = [listing(n, rows, all_rows) for n, rows in (("Modules", modules), ("Edges", edges), ("Imports", traces))]
+    return json.dumps(summary) + "\n\n" + "\n\n".join(listed) + "\n"

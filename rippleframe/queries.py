@@ -2,10 +2,6 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
-
-from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rippleframe.functions import paths as P
@@ -14,10 +10,13 @@ from rippleframe.operators import exports as X
 from rippleframe.operators import graph as G
 from rippleframe.operators import pytest_relations as T
 from rippleframe.operators import resolve as R
-from rippleframe.operators.loops import cut
+from rippleframe.operators.loops import cut, folder
+from rippleframe.plans import build as B
 from rippleframe.plans import impact as M
 from rippleframe.sources import lenses as L
 from rippleframe.sources.facts import fact_rows, parse_files
+from rippleframe.sources.inventory import scan
+from rippleframe.sources.synthetic import write_tree
 
 LIST = ","
 
@@ -262,15 +261,16 @@ def summary_delta(spark, sf_dir):
 
 
 def incremental_equals_full(spark, sf_dir):
-    """Edges after replacing the rows of changed importers, re-resolving only them."""
-    f = L.files(spark, sf_dir)
-    old_imports = L.imports(spark, sf_dir)
-    touched = f.filter("k % 10 = 3").select("path")
-    new_rows = old_imports.join(touched, "path", "left_semi").filter("ordinal % 2 = 1")
-    old = R.import_evidence(R.resolve(old_imports, f), f)
-    fresh = R.import_evidence(R.resolve(new_rows, f), f)
-    kept = old.join(touched.select(F.col("path").alias("dependent")), "dependent", "left_anti").unionByName(fresh)
-    return G.edges_of(kept)
+    """Edges of the index after a change: files of one brand lose every other import, and the files that
+    some change deletes or renames go. Only the importers that this concerns are resolved again."""
+    f = cut(L.files(spark, sf_dir))
+    whole = B.written(B.relate(f, cut(L.facts(spark, sf_dir))))
+    gone = cut(L.gone_files(spark, sf_dir).join(f, "path", "left_semi"))
+    touched = L.path_seeds(spark, sf_dir).select(F.col("node").alias("path")).join(gone, "path", "left_anti")
+    touched = cut(touched)
+    fewer = L.facts(spark, sf_dir, L.imports(spark, sf_dir).filter("ordinal % 2 = 1"))
+    done = B.refresh(whole, touched.union(gone), f.join(touched, "path", "left_semi"), fewer.join(touched, "path", "left_semi"))
+    return done.tables.edges
 
 
 def bench_statistics(spark, sf_dir):
@@ -282,19 +282,21 @@ def truncated_listing(spark, sf_dir):
 
 
 def scan_inventory(spark, sf_dir):
-    """A tree written from the lens, scanned and parsed (a temporary folder: rows only)."""
-    from rippleframe.sources.inventory import scan
-
-    root = tempfile.mkdtemp(prefix="tree-")
-    for k in range(12):
-        os.makedirs(f"{root}/src/g{k % 3}", exist_ok=True)
-        with open(f"{root}/src/g{k % 3}/m{k}.py", "w") as f:
-            f.write(f"import g0.m{k - 1}\n")
+    """The tree of all files, with their imports as source, written to the shared folder and scanned."""
+    root = folder(spark, "tree")
+    sources = L.files(spark, sf_dir).select("path").join(L.import_sources(spark, sf_dir), "path", "left")
+    write_tree(sources.select("path", F.coalesce("source", F.lit("")).alias("source")), root)
     return scan(spark, root).select("path", "size", "content_hash")
 
 
+def chain_impact(spark, sf_dir):
+    """The closure over a chain as long as the part table."""
+    pairs = G.reverse_closure(L.chain_edges(spark, sf_dir), L.seeds(spark, sf_dir))
+    return pairs.groupBy("node").agg(F.count("*").alias("n_causes"), F.min("seed").alias("first_cause"), F.max("seed").alias("last_cause"))
+
+
 QUERIES = {f.__name__: f for f in (
-    impact_closure, impact_closure_cyclic, impact_partition, affected_tests, plan_targets, why_path, neighbours, edge_mutations, path_to_module, is_test_flag, exclude_glob, import_candidates,
+    impact_closure, impact_closure_cyclic, chain_impact, impact_partition, affected_tests, plan_targets, why_path, neighbours, edge_mutations, path_to_module, is_test_flag, exclude_glob, import_candidates,
     import_resolution, import_edges, unresolved_imports, graph_summary, export_index, reexport_edges, reresolve_set, conftest_visibility, fixture_visibility, fixture_edges, fixture_dependencies, plugin_edges,
     parsed_imports, parsed_dynamic_imports, parsed_fixtures, parsed_exports, uncertainty_reason, relevant_changes, change_exclusion, overlay_impact, summary_delta, incremental_equals_full, bench_statistics,
     truncated_listing, scan_inventory,

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from rippleframe import schemas
 from rippleframe.errors import GitError
+from rippleframe.functions.paths import IGNORED_DIRECTORIES
 
 
 def git(root: str, *args: str, ok: tuple = (0,)) -> bytes:
@@ -82,9 +83,10 @@ def git_changes(spark: SparkSession, root: str, base: str = "HEAD") -> DataFrame
 
 
 def baseline(root: str) -> dict | None:
-    """HEAD and the Python paths that differ from it, or None where no safe delta can be had."""
+    """HEAD and the Python paths that differ from it, or None where no safe delta can be had: submodules,
+    repositories inside this one (git does not list their files), or files hidden from git's eyes."""
     try:
-        if os.path.realpath(top_level(root)) != os.path.realpath(root):
+        if os.path.realpath(top_level(root)) != os.path.realpath(root) or os.path.exists(os.path.join(root, ".gitmodules")):
             return None
         head = git(root, "rev-parse", "--verify", "HEAD").decode().strip()
         flags = git(root, "ls-files", "-v", "-z", "--", "*.py").split(b"\0")
@@ -92,12 +94,20 @@ def baseline(root: str) -> dict | None:
         if any(f[:1].islower() or f[:1] == b"S" for f in flags if f) or any(s.startswith(b"160000") for s in stages):
             return None
         dirty = {x for _, p, q in decode_status(git(root, "diff", "--name-status", "-z", "--find-renames", "HEAD", "--")) for x in (p, q) if x}
-        other = {p for _, p, _ in decode_untracked(git(root, "ls-files", "--others", "-z", "--", "*.py"))}
+        others = [p for p in git(root, "ls-files", "--others", "-z").split(b"\0") if p]
+        if any(p.endswith(b"/") and not ignored(p.decode(errors="replace")) for p in others):
+            return None
+        other = {p for _, p, _ in decode_untracked(b"\0".join(p for p in others if p.endswith(b".py")))}
     except GitError:
         return None
     return {"head": head, "dirty": sorted(p for p in dirty | other if p.endswith(".py"))}
 
 
+def ignored(folder: str) -> bool:
+    """Whether the walk would not enter this folder or one above it."""
+    return any(part in IGNORED_DIRECTORIES for part in folder.split("/"))
+
+
 def delta_paths(root: str, before: dict, now: dict) -> list[str]:
     """Paths that may differ between two baselines."""
     moved = set()

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import json
 import os
 import tomllib
 from dataclasses import dataclass, field
@@ -48,7 +49,7 @@ class _Chunk(InputPartition):
 class _TreeReader(DataSourceReader):
     def __init__(self, options: dict):
         self.root = options["root"]
-        self.paths = options["paths"].split("\n") if options.get("paths") else list_python_files(self.root, [p for p in options.get("exclude", "").split("\n") if p])
+        self.paths = json.loads(options["paths"]) if options.get("paths") else list_python_files(self.root, json.loads(options.get("exclude") or "[]"))
         self.size = int(options.get("filesperpartition", "2000"))
 
     def partitions(self):
@@ -82,8 +83,8 @@ class SourceTree(DataSource):
 
 def scan(spark: SparkSession, root: str, patterns: list[str] = (), paths: list[str] | None = None) -> DataFrame:
     spark.dataSource.register(SourceTree)
-    reader = spark.read.format("source_tree").option("root", root).option("exclude", "\n".join(patterns))
-    return (reader if paths is None else reader.option("paths", "\n".join(paths))).load()
+    reader = spark.read.format("source_tree").option("root", root).option("exclude", json.dumps(list(patterns)))
+    return (reader if paths is None else reader.option("paths", json.dumps(paths))).load()
 
 
 @dataclass(frozen=True)

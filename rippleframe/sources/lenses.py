@@ -7,7 +7,9 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import _parse_datatype_string
 
+from rippleframe import schemas
 from rippleframe.operators.changes import virtual_paths
 
 FACT_FILE = "path string, module string, is_package boolean, is_test boolean"
@@ -56,6 +58,11 @@ def path_edges(spark: SparkSession, sf_dir: str, layered: bool = True) -> DataFr
     return e.select(F.col("from").alias("dependent"), F.col("to").alias("dependency"))
 
 
+def chain_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every part depends on the one before: a chain as long as the table."""
+    return table(spark, sf_dir, "part").filter("p_partkey > 0").select(F.col("p_partkey").alias("dependent"), (F.col("p_partkey") - 1).alias("dependency"))
+
+
 CHANGED_BRAND = "Brand#13"  # the changed files are the parts of one brand, about a 25th of the table
 
 
@@ -88,6 +95,16 @@ def imports(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def facts(spark: SparkSession, sf_dir: str, rows: DataFrame | None = None) -> DataFrame:
+    """schemas.FACTS of every file: its import rows (all of `imports`, or `rows`), and nothing else."""
+    shape = {f.name: f.dataType.simpleString() for f in _parse_datatype_string(schemas.FACTS)}
+    fields = [f.name for f in _parse_datatype_string(schemas.FACTS)["imports"].dataType.elementType]
+    rows = (imports(spark, sf_dir) if rows is None else rows).groupBy("path").agg(F.array_sort(F.collect_list(F.struct(*fields))).alias("imports"))
+    empty = {k: F.array().cast(v) for k, v in shape.items() if v.startswith("array")}
+    out = files(spark, sf_dir).select("path").join(rows, "path", "left")
+    return out.select("path", F.coalesce(F.col("imports").cast(shape["imports"]), empty["imports"]).alias("imports"), *[v.alias(k) for k, v in empty.items() if k != "imports"], F.lit(None).cast("string").alias("error"))
+
+
 def import_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(path, source): the import rows as statements, one a line."""
     dots = F.repeat(F.lit("."), F.col("level"))

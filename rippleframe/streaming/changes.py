@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from rippleframe.operators import changes as C
 from rippleframe.operators.graph import reverse_closure
+from rippleframe.operators.loops import cut
 from rippleframe.plans.impact import impact
 
 
@@ -19,7 +20,8 @@ def impact_of_batch(events: DataFrame, edges: DataFrame, files: DataFrame, exclu
 
 def stream_impact(events: DataFrame, edges: DataFrame, files: DataFrame, out: str, checkpoint: str, exclude: list[str] = ()):
     """Start a query that appends each batch's impact to `out`, one folder a batch: a batch that is
-    run again after a failure replaces its own rows."""
+    run again after a failure replaces its own rows. Edges and files are computed once, at the start."""
+    edges, files = cut(edges), cut(files)
 
     def write(batch: DataFrame, number: int) -> None:
         rows = impact_of_batch(batch, edges, files, exclude)

@@ -1,10 +1,12 @@
 import os
+import shutil
 import subprocess
 
 import pytest
 
 from rippleframe.engine import Engine
 from rippleframe.errors import AnalysisError, ConfigError, ImportParseError
+from rippleframe.operators import index as I
 from rippleframe.operators.graph import edges_of
 from tests.trees import SHOP, write
 
@@ -93,20 +95,28 @@ def test_incremental_equals_fresh(spark, tmp_path):
     assert (first.work.kind, first.work.parsed, first.work.generation) == ("full", 14, 1)
     again = Engine.build(spark, root, index)
     assert (again.work.kind, again.work.parsed, again.work.written) == ("unchanged", 0, False)
-    steps = [
-        ({"src/payments/service.py": "from .stripe import pay  # note\n"}, [], 1),
-        ({"src/payments/service.py": "import cycles.a\n"}, [], 1),
-        ({"src/analytics/reporting.py": "import payments.stripe\n"}, [], 1),
-        ({}, ["src/cycles/b.py"], 0),
-        ({"conftest.py": "import pytest\n@pytest.fixture\ndef pay():\n    pass\n", "tests/api/test_checkout.py": "def test_a(pay): pass\n"}, [], 2),
+    steps = [  # files written, files removed, (parsed, importers resolved again, edges added, edges removed)
+        ({"src/payments/service.py": "from .stripe import pay  # note\n"}, [], (1, 0, 0, 0)),
+        ({"src/payments/service.py": "import cycles.a\n"}, [], (1, 1, 2, 2)),
+        ({"src/analytics/reporting.py": "import payments.stripe\n"}, [], (1, 2, 3, 0)),
+        ({}, ["src/cycles/b.py"], (0, None, None, None)),
+        ({"conftest.py": "import pytest\n@pytest.fixture\ndef pay():\n    pass\n", "tests/api/test_checkout.py": "def test_a(pay): pass\n"}, [], (2, None, None, None)),
+        ({"src/cycles/__init__.py": "from .a import thing\n", "src/late.py": "from cycles import thing\n"}, [], (2, None, None, None)),
+        ({"src/cycles/__init__.py": "from payments.stripe import thing\n"}, [], (1, None, None, None)),
+        ({"src/cycles/b.py": ""}, [], (1, None, None, None)),
     ]
-    for tree, gone, parsed in steps:
+    for tree, gone, counts in steps:
         write(root, tree)
         for p in gone:
             os.remove(os.path.join(root, p))
         engine = Engine.build(spark, root, index)
-        assert (engine.work.kind, engine.work.parsed) == ("incremental", parsed)
+        work = engine.work
+        got = (work.parsed, work.resolved, work.edges_added, work.edges_removed)
+        assert work.kind == "incremental" and all(w is None or g == w for g, w in zip(got, counts)), (tree, got)
         same(engine, Engine.build(spark, root))
+    again = Engine.build(spark, root, index)
+    assert again.work.kind == "unchanged"
+    same(again, Engine.build(spark, root))
     with open(os.path.join(index, "manifest.json"), "w") as f:
         f.write("{")
     assert Engine.build(spark, root, index).work.reason == "corrupt"
@@ -126,3 +136,66 @@ def test_git_changes(spark, tmp_path):
     write(root, {"pyproject.toml": "[tool.rippleframe]\nexclude = ['src/cycles']\n"})
     got = Engine.build(spark, root).git().impact()
     assert got["full"] == ("configuration_changed", ["pyproject.toml"]) and len(got["tests"]) == 5
+
+
+def committed(root):
+    shell(root, "init", "-q")
+    shell(root, "add", "-A")
+    shell(root, "commit", "-qm", "one")
+    return root
+
+
+def test_an_import_edit_writes_the_rows_of_its_importer(spark, tmp_path):
+    tree = {"src/a.py": "import b\n", "src/b.py": "", "src/c.py": "", **{f"src/m{i}.py": "import b\n" for i in range(20)}}
+    root, index = committed(write(tmp_path / "repo", tree)), str(tmp_path / "index")
+    Engine.build(spark, root, index)
+    write(root, {"src/a.py": "import c\n"})
+    work = Engine.build(spark, root, index).work
+    assert (work.parsed, work.resolved, work.edges_added, work.edges_removed) == (1, 1, 1, 1)
+    assert work.records == 6  # file, facts, resolution, candidate, evidence, edge
+    for i in range(I.SEGMENTS + 1):  # segments become one table again
+        write(root, {"src/a.py": f"import {'cb'[i % 2]}  # {i}\n"})
+        engine = Engine.build(spark, root, index)
+        assert engine.work.kind == "incremental" and engine.work.generation == i + 3
+    same(engine, Engine.build(spark, root))
+    assert len([x for x in os.listdir(index) if x.startswith("generation-")]) <= I.SEGMENTS + 2
+
+
+def test_reasons_for_a_full_build(spark, tmp_path):
+    root, index = committed(write(tmp_path / "repo", {"src/a.py": "import b\n", "src/b.py": ""})), str(tmp_path / "index")
+    build = lambda: Engine.build(spark, root, index)
+    assert build().work.reason == "missing" and build().work.reason is None
+    open(os.path.join(index, "lock"), "w").close()
+    locked = build().work
+    assert (locked.reason, locked.written) == ("locked", False)
+    os.utime(os.path.join(index, "lock"), (0, 0))
+    assert build().work.kind == "unchanged"
+    write(root, {"other/c.py": ""})
+    shutil.rmtree(os.path.join(root, "src"))
+    assert build().work.reason == "source_roots_remapped"
+    write(root, {"pyproject.toml": "[tool.rippleframe]\ntest-roots = ['other']\n"})
+    assert build().work.reason == "configuration_changed"
+    os.rename(root, root + "-moved")
+    assert Engine.build(spark, root + "-moved", index).work.reason == "repository_changed"
+
+
+def test_stored_tables_that_go_away(spark, tmp_path):
+    root, index = committed(write(tmp_path / "repo", {"src/a.py": "import b\n", "src/b.py": ""})), str(tmp_path / "index")
+    Engine.build(spark, root, index)
+    engine = Engine.build(spark, root, index)
+    shutil.rmtree(os.path.join(index, "generation-1"))
+    assert engine.impact(["src/b.py"])["direct"] == ["src/a.py"] and engine.work.reason == "storage_failure"
+
+
+def test_nested_repositories_have_no_safe_delta(spark, tmp_path):
+    root, index = committed(write(tmp_path / "repo", {"src/a.py": "import b\n", "src/b.py": ""})), str(tmp_path / "index")
+    assert Engine.build(spark, root, index).work.written
+    committed(write(os.path.join(root, "src/inner"), {"c.py": "import a\n"}))
+    for text in ("import b\n", "import a, b\n"):
+        write(root, {"src/inner/c.py": text})
+        engine = Engine.build(spark, root, index)
+        assert engine.work.reason == "no_baseline"
+        same(engine, Engine.build(spark, root))
+    shutil.rmtree(os.path.join(root, "src/inner"))
+    write(root, {".gitmodules": ""})
+    assert Engine.build(spark, root, index).work.reason == "no_baseline"
