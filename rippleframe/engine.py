@@ -35,23 +35,32 @@ from rippleframe.sources import git, inventory
 from rippleframe.sources.facts import fact_rows, parse_files
 
 
-READ_FAILURES = (OSError, KeyError, PySparkException, Py4JJavaError)
+# How Spark names files that are gone or cannot be read.
+_UNREADABLE = ("PATH_NOT_FOUND", "FAILED_READ_FILE", "UNABLE_TO_INFER_SCHEMA", "CANNOT_READ_FILE_FOOTER", "FileNotFoundException", "is not a Parquet file")
+
+
+def _unreadable(e: Exception) -> bool:
+    """Whether an error says that a stored table cannot be read; any other is a defect."""
+    return isinstance(e, OSError) or isinstance(e, (PySparkException, Py4JJavaError)) and any(x in str(e) for x in _UNREADABLE)
 
 
 def _recovering(question):
-    """A question whose stored tables can't be read any more is asked again of a full build."""
+    """A question whose stored tables can't be read any more is asked again of a full build. Its seconds are kept."""
 
     @functools.wraps(question)
     def ask(self, *args, **options):
+        began = time.time()
         try:
             return question(self, *args, **options)
-        except READ_FAILURES as e:
-            if self.work.kind == "full" or "tables" in options:
+        except (OSError, PySparkException, Py4JJavaError) as e:
+            if self.work.kind == "full" or not _unreadable(e):
                 raise
             names = inventory.list_python_files(self.root, list(self.config.exclude))
             self.tables = self._whole(self.spark, self.root, self.config, names, self.config.roots(names))
             self.work = Work(reason="storage_failure", cause=str(e).split("\n")[0], parsed=len(names))
             return question(self, *args, **options)
+        finally:
+            self.work.seconds[question.__name__] = time.time() - began
 
     return ask
 
@@ -111,7 +120,9 @@ class Engine:
         if work.reason is None:
             try:
                 return cls._refresh(spark, root, config, store, names, roots, now, work, began)
-            except READ_FAILURES as e:  # the stored tables can't be read: the answer comes from a full build
+            except (OSError, PySparkException, Py4JJavaError) as e:  # stored tables that can't be read: the answer comes from a full build
+                if not _unreadable(e):
+                    raise
                 work = Work(reason="read_failure", cause=str(e).split("\n")[0])
         tables = cls._whole(spark, root, config, names, roots)
         work.parsed = work.hashed = work.resolved = len(names)

