@@ -172,7 +172,7 @@ def test_reasons_for_a_full_build(tmp_path):
     assert store.why_not(**facts) == "locked"
     os.utime(store.lock, (0, 0))
     assert store.why_not(**facts) is None
-    for change, reason in (({"baseline": None}, "no_baseline"), ({"tables": {"files": [{"rows": "generation-9/files"}]}}, "corrupt"), ({"version": 0}, "incompatible")):
+    for change, reason in (({"baseline": None}, "no_baseline"), ({"baseline": {"head": "h"}, "tables": {"files": [{"rows": "generation-9/files"}]}}, "corrupt"), ({"version": 0}, "incompatible")):
         store.note(**change)
         assert store.why_not(**facts) == reason
     assert store.commit({}, baseline={"head": "h"}, **facts)[0] == 2 and not os.path.exists(store.lock)
