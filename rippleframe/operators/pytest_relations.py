@@ -29,6 +29,12 @@ def conftest_visibility(files: DataFrame) -> DataFrame:
     return visible_files(files.filter("is_test").select("path"), files).filter("distance >= 0 and path <> provider")
 
 
+def _first(fixtures: DataFrame) -> DataFrame:
+    """The first fixture of each file, name and scope: no later one is the nearest to any request."""
+    first = F.min(F.struct("ordinal", "line", "col")).alias("x")
+    return fixtures.groupBy("path", "name", "scope").agg(first).select("path", "name", "scope", "x.ordinal", "x.line", "x.col")
+
+
 def requested_fixtures(files: DataFrame, requests: DataFrame, fixtures: DataFrame, visible: DataFrame) -> DataFrame:
     """(path, name, kind, scope, line, col): the last request of a name in a test, else an autouse fixture."""
     tests = files.filter("is_test").select("path")
@@ -37,12 +43,12 @@ def requested_fixtures(files: DataFrame, requests: DataFrame, fixtures: DataFram
     own = requests.join(tests, "path", "left_semi").withColumn("r", F.row_number().over(last)).filter("r = 1")
     kind = F.when(F.col("kind") == "usefixtures", "pytest_usefixtures").otherwise("pytest_fixture")
     own = own.select("path", "name", kind.alias("kind"), "scope", "line", "col")
-    automatic = fixtures.filter("autouse").select(F.col("path").alias("provider"), "ordinal", "name", "scope", "line", "col")
+    automatic = _first(fixtures.filter("autouse")).select(F.col("path").alias("provider"), "ordinal", "name", "scope", "line", "col")
     offered = visible.join(tests, "path", "left_semi").join(automatic, "provider")
     scopes = requests.filter("kind = 'fixture' and scope is not null").select("path", "scope").distinct().withColumn("used", F.lit(True))
     offered = offered.join(scopes, ["path", "scope"], "left").filter("scope is null or used")
-    first = Window.partitionBy("path", "name").orderBy("distance", "ordinal")
-    offered = offered.withColumn("r", F.row_number().over(first)).filter("r = 1").join(own.select("path", "name"), ["path", "name"], "left_anti")
+    nearest = F.min(F.struct("distance", "ordinal", "scope", "line", "col")).alias("x")
+    offered = offered.groupBy("path", "name").agg(nearest).select("path", "name", "x.scope", "x.line", "x.col").join(own.select("path", "name"), ["path", "name"], "left_anti")
     return own.unionByName(offered.select("path", "name", F.lit("pytest_fixture").alias("kind"), "scope", "line", "col"))
 
 
@@ -50,7 +56,7 @@ def visible_fixture(requests: DataFrame, visible: DataFrame, fixtures: DataFrame
     """Each request with the nearest fixture of its name: `provider`, `distance`, `f_line`, `f_col`.
 
     `requests` has path, rid (unique in a path), name, scope; a scoped fixture serves its own scope only."""
-    named = fixtures.select(F.col("path").alias("provider"), "name", F.col("ordinal").alias("f_ordinal"), F.col("scope").alias("f_scope"), F.col("line").alias("f_line"), F.col("col").alias("f_col"))
+    named = _first(fixtures).select(F.col("path").alias("provider"), "name", F.col("ordinal").alias("f_ordinal"), F.col("scope").alias("f_scope"), F.col("line").alias("f_line"), F.col("col").alias("f_col"))
     pairs = requests.join(visible, "path").join(named, ["provider", "name"])
     pairs = pairs.filter(F.col("f_scope").isNull() | (F.col("f_scope") == F.col("scope")))
     nearest = Window.partitionBy("path", "rid").orderBy("distance", "f_ordinal")

@@ -9,6 +9,7 @@ from hypothesis import strategies as st
 from rippleframe.errors import ConfigError, GitError
 from rippleframe.functions.paths import glob_to_regex
 from rippleframe.operators import changes as C
+from rippleframe.operators import pytest_relations as T
 from rippleframe.operators.graph import reverse_closure, shortest_paths
 from rippleframe.operators.resolve import resolve
 from rippleframe.sources.git import decode_status
@@ -135,3 +136,29 @@ def test_many_seeds(spark):
     frame = spark.createDataFrame(edges, "dependent long, dependency long")
     got = collections.Counter(r["seed"] for r in reverse_closure(frame, frame.selectExpr("dependency as node").distinct()).collect())
     assert got == {i: 200 - i + sum(1 for j in range(0, 200, 3) if j >= i) for i in range(200)}
+
+
+def join_rows(df):
+    """The most rows that a join of the plan made, once it has run."""
+    df.collect()
+    most, plans = 0, [df._jdf.queryExecution().executedPlan()]
+    while plans:
+        p = plans.pop()
+        name = p.getClass().getSimpleName()
+        if "Join" in name:
+            most = max(most, p.longMetric("numOutputRows").value())
+        inner = [p.executedPlan()] if name == "AdaptiveSparkPlanExec" else [p.plan()] if name.endswith("QueryStageExec") else []
+        plans += inner + [p.children().apply(i) for i in range(p.children().size())]
+    return most
+
+
+def test_repeated_fixture_names_do_not_multiply(spark):
+    """300 fixtures of one name, every third automatic, offered to 300 tests: each takes the first."""
+    n = 300
+    tests = [f"t/test_{i}.py" for i in range(n)]
+    files = spark.createDataFrame([(p, p, False, p != "t/conftest.py") for p in [*tests, "t/conftest.py"]], "path string, module string, is_package boolean, is_test boolean")
+    fixtures = spark.createDataFrame([("t/conftest.py", i, f"fx{i % 2}", i % 3 == 2, None, n - i, 1, []) for i in range(n)], "path string, ordinal int, name string, autouse boolean, scope string, line int, col int, params array<string>")
+    requests = spark.createDataFrame([(p, 0, "fixture", "fx0", None, 1, 1) for p in tests], "path string, ordinal int, kind string, name string, scope string, line int, col int")
+    found = T.fixture_edges(files, requests, fixtures)
+    assert sorted((r["dependent"], r["name"], r["line"]) for r in found.collect()) == sorted((p, name, line) for p in tests for name, line in (("fx0", n), ("fx1", n - 1)))
+    assert join_rows(found) <= 10 * n
