@@ -45,6 +45,7 @@ BANDS, ROWS = 32, 5
 PIVOTS = 2  # nodes of a bucket that all others meet first
 WHOLE = 16  # up to this size, all classes of a bucket are compared pair by pair, beyond it by blocks
 BLOCK = 2_000_000  # bytes of text in a block
+LIFTS = 2  # rounds in which small blocks find the ones that they meet
 COMMON = 32  # shingles of more nodes are counted by matrix products, the others by their pairs
 CHUNK = 2_000_000  # bytes at a time
 WORD_LIMIT = 200_000  # entries of the word hash table of a worker process; each task leaves it empty
@@ -325,12 +326,23 @@ def find_classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         return pairs.filter("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
 
     def across(spots: DataFrame) -> DataFrame:
-        """Links of apart nodes (left) with all nodes (right) of their buckets. The nodes that have the same largest bucket are dealt into blocks."""
+        """Links of apart nodes (left) with all nodes (right) of their buckets. Nodes are dealt into blocks by their
+        home, the largest bucket that they are in; homes of few bytes share blocks with others that they meet."""
         size = texts.select("node", F.octet_length("text").alias("size"))
-        homes = spots.groupBy("node").agg(F.first("class").alias("class"), F.max(F.struct("n", "bucket"))["bucket"].alias("home"), F.max("apart").alias("apart")).join(size, "node")
-        counts = homes.groupBy("home").agg(*(F.ceil((F.sum(v) + 1) / BLOCK).alias(k) for k, v in (("n_right", F.col("size")), ("n_left", F.when(F.col("apart"), F.col("size")).otherwise(0)))))
-        block = lambda k: F.xxhash64("home", F.pmod(F.xxhash64("node"), k))
-        homes = materialize(homes.join(counts, "home").select("node", "class", block("n_left").alias("left"), block("n_right").alias("right")))
+        homes = spots.groupBy("node").agg(F.first("class").alias("class"), F.max(F.struct("n", "bucket")).alias("top"), F.max("apart").alias("apart")).join(size, "node")
+        homes = materialize(homes.withColumn("home", F.col("top.bucket")))
+        tops = homes.select("node", "top")
+        for _ in range(LIFTS):
+            above = spots.select("bucket", "node").join(tops, "node").groupBy("bucket").agg(F.max("top").alias("top"))
+            tops = spots.select("bucket", "node").join(above, "bucket").groupBy("node").agg(F.max("top").alias("top"))
+        blocks = lambda c: (F.ceil((F.sum(v) + 1) / BLOCK).alias(k) for k, v in (("n_right", F.col(c)), ("n_left", F.when(F.col("apart"), F.col(c)).otherwise(0))))
+        own = homes.groupBy("home").agg(F.sum("size").alias("bytes"), *blocks("size"))
+        homes = materialize(homes.drop("top").join(tops.select("node", F.col("top.bucket").alias("top")), "node").join(own, "home"))
+        few = F.col("bytes") <= BLOCK // 4
+        shared = homes.filter(few).groupBy("top").agg(*blocks("size")).select("top", F.col("n_right").alias("m_right"), F.col("n_left").alias("m_left"))
+        homes = homes.join(shared, "top", "left")
+        block = lambda side: F.when(few, F.xxhash64(F.lit(0), "top", F.pmod(F.xxhash64("home"), f"m_{side}"))).otherwise(F.xxhash64(F.lit(1), "home", F.pmod(F.xxhash64("node"), f"n_{side}")))
+        homes = materialize(homes.select("node", "class", block("left").alias("left"), block("right").alias("right")))
         spots = spots.select("bucket", "node", "apart").join(homes.drop("class"), "node")
         met = spots.groupBy("bucket").agg(F.collect_set(F.when(F.col("apart"), F.col("left"))).alias("lefts"), F.collect_set("right").alias("rights"))  # blocks, not nodes
         spots = materialize(spots.join(met, "bucket"))

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from rippleframe.llm import lm_scoring, mixing, near_dedup, nearest, suffix_dedup, toxicity
 from tests.llm.test_token_counts_and_small import LONG, ODD, empty, odd
+from tests.test_operators import join_rows
 
 
 def frame(spark, texts):
@@ -116,6 +117,16 @@ def test_near_duplicates_around_a_large_group(spark):
     assert len(set(want)) > 50 and [i for i in range(len(texts)) if got[i] != want[i]] == []
 
 
+def test_a_group_of_near_copies_meets_in_few_blocks(spark, monkeypatch):
+    """Texts whose edits cover half of a common text: their buckets overlap, and no text may travel once for each of them."""
+    rng, base = random.Random(5), [f"w{i}" for i in range(104)]
+    texts = [" ".join(f"e{i}_{j}" if j in places else w for j, w in enumerate(base)) for i in range(700) for places in [{rng.randrange(5, 95) for _ in range(rng.randrange(1, 6))}]]
+    most, write = [], near_dedup.materialize
+    monkeypatch.setattr(near_dedup, "materialize", lambda df: (df.columns == ["a", "b"] and most.append(join_rows(df)), write(df))[1])
+    near_dedup.find_classes(frame(spark, texts)).collect()
+    assert 0 < max(most) <= 12 * len(texts)  # texts sent to blocks
+
+
 def test_near_duplicates_of_odd_tables(spark):
     assert len(near_dedup.find_classes(odd(spark)).collect()) == len(ODD)
     assert near_dedup.find_classes(empty(spark)).collect() == [] == near_dedup.keep_one(empty(spark)).collect()
