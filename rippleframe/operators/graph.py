@@ -14,7 +14,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from rippleframe.operators.loops import cut, cut_counted
+from rippleframe.operators.loops import cut, cut_counted, forget
 
 ROUNDS_KEPT = 8  # tables of seen bits that are read one by one before they become one
 
@@ -70,8 +70,8 @@ def _contracted(back: DataFrame, inner: DataFrame | None) -> DataFrame:
 
 
 def _numbered(nodes: DataFrame) -> DataFrame:
-    """(node, n): distinct nodes with numbers that lie close together within a partition, written."""
-    return cut(nodes.filter("node is not null").distinct().withColumn("n", F.monotonically_increasing_id()))
+    """(node, n): distinct nodes with numbers in node order, close together within a partition, written."""
+    return cut(nodes.filter("node is not null").distinct().orderBy("node").withColumn("n", F.monotonically_increasing_id()))
 
 
 def _marks(numbered: DataFrame) -> DataFrame:
@@ -111,13 +111,10 @@ def direct_dependents(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     return edges.join(nodes.select(F.col("node").alias("dependency")).distinct(), "dependency", "left_semi").select(F.col("dependent").alias("node")).distinct()
 
 
-def closure_bits(edges: DataFrame, seeds: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """((node, word, bits), (node, n)): the seeds that reach each node, themselves included, as bits, and
-    the seeds' numbers: bit i of a word stands for the seed of number 64 x word + i."""
-    back, numbered = _back_edges(edges), _numbered(seeds.select("node"))
-    inner = chains(back, numbered.select("node"))
-    step = _contracted(back, inner).select(F.col("b").alias("node"), F.col("a").alias("to"))
-    new = cut(_marks(numbered).groupBy("node", "word").agg(F.bit_or("bits").alias("bits")))
+def _spread(marks: DataFrame, step: DataFrame) -> DataFrame:
+    """(node, word, bits): the bits of `marks` (node, word, bits) and all that come to a node over `step` (node, to);
+    no bit of a node stands in two rows."""
+    new = cut(marks.groupBy("node", "word").agg(F.bit_or("bits").alias("bits")))
     seen = [new]
     while True:
         sent = new.join(step, "node").groupBy(F.col("to").alias("node"), "word").agg(F.bit_or("bits").alias("bits"))
@@ -125,11 +122,21 @@ def closure_bits(edges: DataFrame, seeds: DataFrame) -> tuple[DataFrame, DataFra
         fresh = F.col("bits").bitwiseAND(F.bitwise_not(F.coalesce("old", F.lit(0).cast("long"))))
         new, count = cut_counted(sent.join(old, ["node", "word"], "left").select("node", "word", fresh.alias("bits")).filter("bits <> 0"))
         if not count:
-            break
+            return _union(seen)
         seen.append(new)
         if len(seen) > ROUNDS_KEPT:
-            seen = [cut(_union(seen).groupBy("node", "word").agg(F.bit_or("bits").alias("bits")))]
-    reached = _union(seen)  # no bit of a node stands in two of them
+            whole = cut(_union(seen).groupBy("node", "word").agg(F.bit_or("bits").alias("bits")))
+            forget(*seen[:-1])
+            seen = [whole]
+
+
+def closure_bits(edges: DataFrame, seeds: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """((node, word, bits), (node, n)): the seeds that reach each node, themselves included, as bits, and
+    the seeds' numbers: bit i of a word stands for the seed of number 64 x word + i."""
+    back, numbered = _back_edges(edges), _numbered(seeds.select("node"))
+    inner = chains(back, numbered.select("node"))
+    step = _contracted(back, inner).select(F.col("b").alias("node"), F.col("a").alias("to"))
+    reached = _spread(_marks(numbered), step)
     if inner is not None:
         passed = reached.withColumnRenamed("node", "start").join(inner.select("start", "node"), "start")
         reached = reached.unionByName(passed.select("node", "word", "bits"))
@@ -144,6 +151,82 @@ def reverse_closure(edges: DataFrame, seeds: DataFrame) -> DataFrame:
     return _named(reached, numbered, "seed").filter("seed <> node").select("seed", "node")
 
 
+def _runs(back: DataFrame, kept: DataFrame, numbered: DataFrame) -> tuple[DataFrame, DataFrame] | None:
+    """((node, start, bottom, n, lo, hi, m, least, open), (bottom, end)) of every node with one dependency and one
+    dependent that is not in `kept` (node), by pointers that double their reach every round. Its run goes down
+    to `bottom`, which depends on the other node `start`; n seeds lie on it below the node, of numbers lo to hi,
+    and m is the node's own. `end` is the other node above the run. Open rows are rings without any other node,
+    of which `least` is the least. None where there are none."""
+    before = back.groupBy(F.col("dependent").alias("node")).agg(F.count("*").alias("k"), F.min("dependency").alias("start")).filter("k = 1").drop("k")
+    after = back.groupBy(F.col("dependency").alias("node")).agg(F.count("*").alias("k"), F.min("dependent").alias("end")).filter("k = 1").drop("k")
+    both = before.join(after, "node").join(kept, "node", "left_anti").join(numbered.select("node", F.col("n").alias("m")), "node", "left")
+    inner, count = cut_counted(both.select("node", "start", "end", "m"))
+    if not count:
+        return None
+    none = F.lit(None).cast("long")
+    rows = inner.select("node", "start", F.col("node").alias("bottom"), F.lit(0).cast("long").alias("n"), none.alias("lo"), none.alias("hi"), "m", F.col("node").alias("least"), F.lit(True).alias("open"))
+    for turn in range(count.bit_length() + 2):
+        ahead = rows.select(
+            F.col("node").alias("start"), F.col("start").alias("start_2"), F.col("bottom").alias("bottom_2"), (F.col("n") + F.col("m").isNotNull().cast("long")).alias("n_2"),
+            F.least("lo", "m").alias("lo_2"), F.greatest("hi", "m").alias("hi_2"), F.col("least").alias("least_2"), F.col("open").alias("open_2"),
+        )
+        moved = rows.filter("open").join(ahead, "start", "left").select(
+            "node", F.coalesce("start_2", "start").alias("start"), F.coalesce("bottom_2", "bottom").alias("bottom"), (F.col("n") + F.coalesce("n_2", F.lit(0))).alias("n"),
+            F.least("lo", "lo_2").alias("lo"), F.greatest("hi", "hi_2").alias("hi"), "m", F.least("least", "least_2").alias("least"), F.coalesce("open_2", F.lit(False)).alias("open"),
+        )
+        older = rows
+        rows, left = cut_counted(rows.filter("not open").unionByName(moved).withColumn("still", F.col("open")), "still")
+        if turn:
+            forget(older)
+        if not left:
+            break
+    tops = inner.join(inner.select(F.col("node").alias("end")), "end", "left_anti").select("node", "end")
+    return rows, cut(rows.filter("not open").select("node", "bottom").join(tops, "node").select("bottom", "end"))
+
+
+def closure_summary(edges: DataFrame, seeds: DataFrame) -> DataFrame:
+    """(node, n_causes, first_cause, last_cause): the number of seeds that a node depends on, directly or not, the
+    least and the greatest of them, itself excepted; nodes without any are absent.
+
+    `reverse_closure` grouped by node, where no pair becomes a row. Runs of nodes with one dependency
+    and one dependent are left out of the traversal, seeds on them or not: their seeds count from the node above them on,
+    and on the run itself a node has those below it and those of the node below the run."""
+    back, numbered = _back_edges(edges), _numbered(seeds.select("node"))
+    places = back.limit(0).select(F.col("dependent").alias("node"), F.col("dependent").alias("at"), F.col("dependent").alias("bottom"), *(F.lit(0).cast("long").alias(c) for c in ("add_n", "add_lo", "add_hi")))
+    step, marks, closed = back.select(F.col("dependency").alias("node"), F.col("dependent").alias("to")), numbered, places.select("bottom")
+    runs = _runs(back, numbered.limit(0).select("node"), numbered)
+    if runs is not None:
+        rows, ends = runs
+        none = F.lit(None).cast("long")
+        rings = rows.filter("open").select("node", F.col("least").alias("at"), F.lit(None).cast(back.schema["dependent"].dataType).alias("bottom"), none.alias("add_n"), none.alias("add_lo"), none.alias("add_hi"))
+        places = cut(rings.unionByName(rows.filter("not open").select("node", F.col("start").alias("at"), "bottom", F.col("n").alias("add_n"), F.col("lo").alias("add_lo"), F.col("hi").alias("add_hi"))))
+        gone = rows.select("node")
+        step = step.join(gone, "node", "left_anti").join(gone.select(F.col("node").alias("to")), "to", "left_anti").select("node", "to")
+        over = ends.join(rows.filter("node = bottom").select("bottom", "start"), "bottom")
+        step = cut(step.unionByName(over.filter("start <> end").select(F.col("start").alias("node"), F.col("end").alias("to"))).distinct())
+        above = rows.filter("m is not null").join(ends, "bottom", "left").select("node", F.coalesce("end", "least").alias("to"))
+        marks = numbered.join(above, "node", "left").select(F.coalesce("to", "node").alias("node"), "n")
+    reached = _spread(_marks(marks), step)
+    if runs is not None:  # runs below whose bottom their own seeds are found again lie on a cycle
+        probe = rows.filter("not open").groupBy("bottom", "start").agg(F.min("m").alias("m")).filter("m is not null")
+        probe = probe.select("bottom", F.col("start").alias("node"), F.shiftright("m", 6).alias("word"), F.expr("cast(m & 63 as int)").alias("bit"))
+        closed = reached.join(probe, ["node", "word"]).filter("getbit(bits, bit) = 1").select("bottom").distinct()
+    number = [F.shiftleft("word", 6) + f(_bits()) for f in (F.array_min, F.array_max)]
+    total = (F.sum(F.bit_count("bits")).alias("c"), F.min(number[0]).alias("lo"), F.max(number[1]).alias("hi"))
+    open_ = places.join(closed, "bottom", "left_anti").select("node", "add_n", "add_lo", "add_hi")
+    nodes = back.select(F.col("dependent").alias("node")).distinct().join(places.select("node", "at"), "node", "left").select("node", F.coalesce("at", "node").alias("at"))
+    nodes = cut(nodes.join(numbered, "node", "left"))
+    own = F.when(F.col("word") == F.shiftright("n", 6), F.expr("shiftleft(1L, cast(n & 63 as int))")).otherwise(F.lit(0).cast("long"))
+    others = F.col("bits").bitwiseAND(F.bitwise_not(own))
+    here = reached.withColumnRenamed("node", "at")
+    of_seeds = nodes.filter("n is not null").join(here, "at").select("node", "word", others.alias("bits")).filter("bits <> 0").groupBy("node").agg(*total)
+    of_others = nodes.filter("n is null").select("node", "at").join(here.groupBy("at").agg(*total), "at").drop("at")
+    sums = of_seeds.unionByName(of_others).join(open_, "node", "full")
+    sums = sums.select("node", (F.coalesce("c", F.lit(0)) + F.coalesce("add_n", F.lit(0))).alias("n_causes"), F.least("lo", "add_lo").alias("lo"), F.greatest("hi", "add_hi").alias("hi")).filter("n_causes > 0")
+    names = [numbered.select(F.col("n").alias(at), F.col("node").alias(name)) for at, name in (("lo", "first_cause"), ("hi", "last_cause"))]
+    return sums.join(names[0], "lo").join(names[1], "hi").select("node", "n_causes", "first_cause", "last_cause")
+
+
 def _distances(step: DataFrame, numbered: DataFrame) -> DataFrame:
     """(node, word, d, bits): the seeds whose shortest way up to the node has d steps, written."""
     new = cut(_marks(numbered).groupBy("node", "word").agg(F.bit_or("bits").alias("bits")).withColumn("d", F.lit(0).cast("long")))

@@ -35,13 +35,24 @@ def folder(spark: SparkSession, name: str) -> str:
     return path
 
 
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"  # at the end of an execution, not when the driver collects garbage
+
+
 def cut(df: DataFrame) -> DataFrame:
-    """The same rows as a written table: survives lost executors, ends the lineage."""
+    """The same rows as a written table: survives lost executors, ends the lineage. The shuffle files of
+    the write go with its end."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/t-{uuid.uuid4().hex}"
     _written.setdefault(spark.sparkContext.applicationId, []).append(path)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    before = spark.conf.get(_CLEANUP, None)
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(_CLEANUP, before) if before is not None else spark.conf.unset(_CLEANUP)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._cut_path = path
+    return out
 
 
 def cut_counted(df: DataFrame, where: str | None = None) -> tuple[DataFrame, int]:
@@ -53,6 +64,15 @@ def cut_counted(df: DataFrame, where: str | None = None) -> tuple[DataFrame, int
     return out, seen.get["n"]
 
 
+def forget(*tables: DataFrame) -> None:
+    """Remove tables that `cut` wrote, when nothing reads them any more."""
+    for table in tables:
+        spark, at = table.sparkSession, table._cut_path
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(at)
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+        _written[spark.sparkContext.applicationId].remove(at)
+
+
 def release(spark: SparkSession) -> int:
     """Remove all tables that `cut` wrote in this application, when no result that reads them is wanted
     any more; returns their number."""

@@ -1,4 +1,5 @@
 import collections
+import random
 import re
 from collections import deque
 
@@ -9,9 +10,11 @@ from hypothesis import strategies as st
 from rippleframe.errors import ConfigError, GitError
 from rippleframe.functions.paths import glob_to_regex
 from rippleframe.operators import changes as C
+from rippleframe.operators import loops
 from rippleframe.operators import pytest_relations as T
-from rippleframe.operators.graph import reverse_closure, shortest_paths
+from rippleframe.operators.graph import closure_summary, reverse_closure, shortest_paths
 from rippleframe.operators.resolve import resolve
+from rippleframe.queries import QUERIES
 from rippleframe.sources.git import decode_status
 from rippleframe.sources.inventory import normalize_excludes, normalize_roots
 
@@ -138,6 +141,47 @@ def test_many_seeds(spark):
     assert got == {i: 200 - i + sum(1 for j in range(0, 200, 3) if j >= i) for i in range(200)}
 
 
+def many_graphs():
+    """(edges, seeds, causes of each node): 60 small graphs side by side, half of them little more than chains and rings."""
+    rand, edges, seeds, causes = random.Random(7), [], [], {}
+    for g in range(60):
+        nodes = [100 * g + i for i in range(rand.choice((3, 8, 12, 30)))]
+        if g % 2:
+            walk = rand.sample(nodes, len(nodes)) + rand.choices(nodes, k=rand.choice((0, 1, 2)))
+            pairs = set(zip(walk, walk[1:])) | ({(walk[-1], walk[0])} if g % 4 == 1 else set())
+        else:
+            pairs = {(rand.choice(nodes), rand.choice(nodes)) for _ in range(rand.choice((1, 2)) * len(nodes))}
+        own = rand.sample(nodes, rand.choice((1, 3, len(nodes) // 2, len(nodes))))
+        edges, seeds, ahead = edges + sorted(pairs), seeds + own, {}
+        for a, b in pairs:
+            ahead.setdefault(a, set()).add(b)
+        for v in nodes:
+            seen, queue = set(), [v]
+            while queue:
+                new = ahead.get(queue.pop(), set()) - seen
+                seen |= new
+                queue += new
+            causes[v] = sorted((seen & set(own)) - {v})
+    return edges, seeds, causes
+
+
+def test_summary_against_search(spark):
+    edges, seeds, causes = many_graphs()
+    got = closure_summary(spark.createDataFrame(edges + [(None, 1), (5, None)], "dependent int, dependency int"), spark.createDataFrame([(s,) for s in seeds + [None, -5]], "node int")).collect()
+    assert sorted(tuple(r) for r in got) == sorted((v, len(c), c[0], c[-1]) for v, c in causes.items() if c)
+
+
+def test_chain_with_many_seeds_takes_few_rounds(spark, tmp_path):
+    """Every third part of 400 is a seed: rounds go by the logarithm of the chain's length, not by its seeds."""
+    n = 400
+    spark.createDataFrame([(i, "Brand#13" if i % 3 == 0 else "") for i in range(n)], "p_partkey long, p_brand string").write.parquet(f"{tmp_path}/part.parquet")
+    mine = loops._written.setdefault(spark.sparkContext.applicationId, [])
+    before = set(mine)
+    got = QUERIES["chain_impact"](spark, str(tmp_path)).collect()
+    assert sorted(tuple(r) for r in got) == [(i, (i + 2) // 3, 0, (i - 1) // 3 * 3) for i in range(1, n)]
+    assert len(set(loops._written[spark.sparkContext.applicationId]) - before) < 30
+
+
 def join_rows(df):
     """The most rows that a join of the plan made, once it has run."""
     df.collect()
