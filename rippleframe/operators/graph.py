@@ -284,6 +284,59 @@ def shortest_paths(edges: DataFrame, pairs: DataFrame) -> DataFrame:
     return stops.groupBy("changed", "affected").agg(F.transform(listed, lambda x: x["stop"]).alias("path"))
 
 
+def closure_paths(edges: DataFrame, seeds: DataFrame) -> DataFrame:
+    """(changed, affected, path): for each pair of `reverse_closure`, what `shortest_paths` finds.
+
+    A round sends the newest bits over the edges; of those that come to a node for the first time the least sender
+    takes each, and so is their next hop down. Only pairs that others pass through are written
+    with their paths; the others become rows at the end."""
+    back, numbered = _back_edges(edges), _numbered(seeds.select("node"))
+    step, zero = back.select(F.col("dependency").alias("node"), F.col("dependent").alias("to")), F.lit(0).cast("long")
+    new = cut(_marks(numbered))
+    seen, hops, last = [new], [], None
+    level = cut(numbered.select("n", "node", F.array("node").alias("path")))  # paths of the last level but one
+    paths = [level]
+    lower = Window.partitionBy("node", "word").orderBy("via").rowsBetween(Window.unboundedPreceding, -1)
+
+    def pairs(rows: DataFrame) -> DataFrame:
+        return rows.select("node", "via", F.shiftleft("word", 6).alias("first"), F.explode(_bits()).alias("bit")).select("node", "via", (F.col("first") + F.col("bit")).alias("n"))
+
+    def onward(rows: DataFrame, to: DataFrame) -> DataFrame:
+        return pairs(rows).join(to.select("n", F.col("node").alias("via"), "path"), ["n", "via"]).select("n", "node", F.concat(F.array("node"), "path").alias("path"))
+
+    while True:
+        sent = new.join(step, "node").select(F.col("to").alias("node"), "word", F.col("node").alias("via"), "bits")
+        old = _union(seen).groupBy("node", "word").agg(F.bit_or("bits").alias("old"))
+        taken = F.coalesce(F.bit_or("bits").over(lower), zero).bitwiseOR(F.coalesce("old", zero))
+        fresh = F.col("bits").bitwiseAND(F.bitwise_not(taken))
+        found, count = cut_counted(sent.join(old, ["node", "word"], "left").select("node", "word", "via", fresh.alias("bits")).filter("bits <> 0"))
+        if not count:
+            break
+        if last is not None:
+            passed = found.groupBy(F.col("via").alias("node"), "word").agg(F.bit_or("bits").alias("passed"))
+            through = last.join(passed, ["node", "word"]).select("node", "word", "via", F.col("bits").bitwiseAND(F.col("passed")).alias("bits")).filter("bits <> 0")
+            level = cut(onward(through, level))
+            paths.append(level)
+        last = found
+        hops.append(found)
+        new = cut(found.groupBy("node", "word").agg(F.bit_or("bits").alias("bits")))
+        seen.append(new)
+        if len(seen) > ROUNDS_KEPT:
+            whole = cut(_union(seen).groupBy("node", "word").agg(F.bit_or("bits").alias("bits")))
+            forget(*seen[:-1])
+            seen = [whole]
+            for tables in (hops, paths):  # the newest are read on their own in the next round
+                if len(tables) > 2:
+                    joined = cut(_union(tables[:-1]))
+                    forget(*tables[:-1])
+                    tables[:-1] = [joined]
+    forget(*{id(t): t for t in [*seen, new]}.values())
+    if not hops:
+        hops = [found.select("node", "word", "via", "bits")]
+    done = onward(_union(hops), _union(paths))
+    return done.select(F.element_at("path", -1).alias("changed"), F.col("node").alias("affected"), "path")
+
+
 def path_steps(paths: DataFrame, evidence: DataFrame) -> DataFrame:
     """Consecutive pairs of each path with their evidence lists."""
     steps = paths.select("changed", "affected", "path", F.posexplode(F.slice("path", 1, F.size("path") - 1)).alias("ordinal", "dependent"))

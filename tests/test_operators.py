@@ -12,7 +12,7 @@ from rippleframe.functions.paths import glob_to_regex
 from rippleframe.operators import changes as C
 from rippleframe.operators import loops
 from rippleframe.operators import pytest_relations as T
-from rippleframe.operators.graph import closure_summary, reverse_closure, shortest_paths
+from rippleframe.operators.graph import closure_paths, closure_summary, reverse_closure, shortest_paths
 from rippleframe.operators.resolve import resolve
 from rippleframe.queries import QUERIES
 from rippleframe.sources.git import decode_status
@@ -182,6 +182,21 @@ def test_chain_with_many_seeds_takes_few_rounds(spark, tmp_path):
     assert len(set(loops._written[spark.sparkContext.applicationId]) - before) < 30
 
 
+def test_closure_paths_equal_shortest_paths(spark):
+    """Two layers over 70 seeds, with ties, a ring and an edge past a layer; and pairs are not written one by one."""
+    mid, top = range(100, 103), range(200, 300)
+    edges = [(m, s) for m in mid for s in range(70) if (m + s) % 3] + [(t, m) for t in top for m in mid if (t + m) % 2 or m == 101] + [(200, 0), (0, 299)]
+    frame, seeds = spark.createDataFrame(edges, "dependent long, dependency long"), spark.createDataFrame([(s,) for s in [*range(70), None]], "node long")
+    mine = loops._written.setdefault(spark.sparkContext.applicationId, [])
+    before = set(mine)
+    found = closure_paths(frame, seeds)
+    written = sum(spark.read.parquet(p).count() for p in set(mine) - before)
+    got = sorted((r["changed"], r["affected"], list(r["path"])) for r in found.collect())
+    pairs = reverse_closure(frame, seeds).selectExpr("seed as changed", "node as affected")
+    assert got == sorted((r["changed"], r["affected"], list(r["path"])) for r in shortest_paths(frame, pairs).collect())
+    assert written < len(got) / 2
+
+
 def join_rows(df):
     """The most rows that a join of the plan made, once it has run."""
     df.collect()
