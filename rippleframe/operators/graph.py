@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from rippleframe.operators.loops import cut, cut_counted, forget
 
+MERGE_ROUNDS = 32  # after so many, nodes on longer ways round stay apart
 ROUNDS_KEPT = 8  # tables of seen bits that are read one by one before they become one
 
 
@@ -184,28 +185,73 @@ def _runs(back: DataFrame, kept: DataFrame, numbered: DataFrame) -> tuple[DataFr
     return rows, cut(rows.filter("not open").select("node", "bottom").join(tops, "node").select("bottom", "end"))
 
 
+def _merged(back: DataFrame) -> DataFrame | None:
+    """(node, rep): sets of two nodes or more that all reach each other, with the least of each; None where
+    none is found. Any such sets may be merged, and what is not found is left to the traversal, so four edges of
+    a node do, two each way by a hash, and rounds are bounded."""
+    hashed = F.xxhash64("dependency", "dependent").alias("h")
+
+    def few(one: str, other: str) -> DataFrame:
+        ends = back.groupBy(one).agg(F.min(F.struct(hashed, other)).alias("x"), F.max(F.struct(hashed, other)).alias("y"))
+        return ends.select(one, F.explode(F.array(f"x.{other}", f"y.{other}")).alias(other)).select("dependency", "dependent")
+
+    some, count = cut_counted(few("dependent", "dependency").unionByName(few("dependency", "dependent")).distinct())
+    for _ in range(MERGE_ROUNDS):  # without nodes that have edges on one side only
+        both = some.select("dependency").intersect(some.select("dependent"))
+        trimmed, left = cut_counted(some.join(both, "dependency", "left_semi").join(both.toDF("dependent"), "dependent", "left_semi").select("dependency", "dependent"))
+        forget(some)
+        some = trimmed
+        if not left:
+            return None
+        if left == count:
+            break
+        count = left
+    ways = some.select(F.col("dependency").alias("node"), F.col("dependent").alias("to"), F.lit(0).alias("way")).unionByName(some.select(F.col("dependent").alias("node"), F.col("dependency").alias("to"), F.lit(1).alias("way")))
+    labels = cut(ways.select("node").distinct().select("node", F.explode(F.array(F.lit(0), F.lit(1))).alias("way"), F.col("node").alias("label"), F.lit(True).alias("new")))
+    for _ in range(MERGE_ROUNDS):  # the least node that reaches each, and that each reaches
+        got = labels.filter("new").join(ways, ["node", "way"]).groupBy(F.col("to").alias("node"), "way").agg(F.min("label").alias("got"))
+        less = F.coalesce(F.col("got") < F.col("label"), F.lit(False))
+        older = labels
+        labels, count = cut_counted(labels.drop("new").join(got, ["node", "way"], "left").select("node", "way", F.least("label", "got").alias("label"), less.alias("new"), less.alias("moved")), "moved")
+        forget(older)
+        if not count:
+            break
+    same = labels.filter("way = 0").select("node", F.col("label").alias("rep")).join(labels.filter("way = 1").select("node", F.col("label").alias("rep")), ["node", "rep"])
+    merged, count = cut_counted(same.join(same.filter("node <> rep").select("rep").distinct(), "rep", "left_semi").select("node", "rep"))
+    return merged if count else None
+
+
 def closure_summary(edges: DataFrame, seeds: DataFrame) -> DataFrame:
     """(node, n_causes, first_cause, last_cause): the number of seeds that a node depends on, directly or not, the
     least and the greatest of them, itself excepted; nodes without any are absent.
 
-    `reverse_closure` grouped by node, where no pair becomes a row. Runs of nodes with one dependency
+    `reverse_closure` grouped by node, where no pair becomes a row. Sets of nodes that reach each other are one node. Runs of nodes with one dependency
     and one dependent are left out of the traversal, seeds on them or not: their seeds count from the node above them on,
     and on the run itself a node has those below it and those of the node below the run."""
     back, numbered = _back_edges(edges), _numbered(seeds.select("node"))
-    places = back.limit(0).select(F.col("dependent").alias("node"), F.col("dependent").alias("at"), F.col("dependent").alias("bottom"), *(F.lit(0).cast("long").alias(c) for c in ("add_n", "add_lo", "add_hi")))
-    step, marks, closed = back.select(F.col("dependency").alias("node"), F.col("dependent").alias("to")), numbered, places.select("bottom")
-    runs = _runs(back, numbered.limit(0).select("node"), numbered)
+    of, none = back.schema["dependent"].dataType, F.lit(None).cast("long")
+    alone = (F.lit(None).cast(of).alias("bottom"), none.alias("add_n"), none.alias("add_lo"), none.alias("add_hi"))
+    groups = _merged(back)
+    if groups is None:
+        groups, links = numbered.limit(0).select(F.col("node").cast(of).alias("node"), F.col("node").cast(of).alias("rep")), back
+    else:
+        links = back
+        for end in ("dependency", "dependent"):
+            links = links.join(groups.toDF(end, "rep"), end, "left").withColumn(end, F.coalesce("rep", end)).drop("rep").distinct()
+        links = cut(links.filter("dependency <> dependent").select("dependency", "dependent"))
+    places, above = groups.select("node", F.col("rep").alias("at"), *alone), groups.select("node", F.col("rep").alias("to"))
+    step, closed = links.select(F.col("dependency").alias("node"), F.col("dependent").alias("to")), places.select("bottom").limit(0)
+    runs = _runs(links, groups.select(F.col("rep").alias("node")).distinct(), numbered)
     if runs is not None:
         rows, ends = runs
-        none = F.lit(None).cast("long")
-        rings = rows.filter("open").select("node", F.col("least").alias("at"), F.lit(None).cast(back.schema["dependent"].dataType).alias("bottom"), none.alias("add_n"), none.alias("add_lo"), none.alias("add_hi"))
-        places = cut(rings.unionByName(rows.filter("not open").select("node", F.col("start").alias("at"), "bottom", F.col("n").alias("add_n"), F.col("lo").alias("add_lo"), F.col("hi").alias("add_hi"))))
+        rings = rows.filter("open").select("node", F.col("least").alias("at"), *alone)
+        places = cut(places.unionByName(rings).unionByName(rows.filter("not open").select("node", F.col("start").alias("at"), "bottom", F.col("n").alias("add_n"), F.col("lo").alias("add_lo"), F.col("hi").alias("add_hi"))))
         gone = rows.select("node")
         step = step.join(gone, "node", "left_anti").join(gone.select(F.col("node").alias("to")), "to", "left_anti").select("node", "to")
         over = ends.join(rows.filter("node = bottom").select("bottom", "start"), "bottom")
         step = cut(step.unionByName(over.filter("start <> end").select(F.col("start").alias("node"), F.col("end").alias("to"))).distinct())
-        above = rows.filter("m is not null").join(ends, "bottom", "left").select("node", F.coalesce("end", "least").alias("to"))
-        marks = numbered.join(above, "node", "left").select(F.coalesce("to", "node").alias("node"), "n")
+        above = above.unionByName(rows.filter("m is not null").join(ends, "bottom", "left").select("node", F.coalesce("end", "least").alias("to")))
+    marks = numbered.join(above, "node", "left").select(F.coalesce("to", "node").alias("node"), "n")
     reached = _spread(_marks(marks), step)
     if runs is not None:  # runs below whose bottom their own seeds are found again lie on a cycle
         probe = rows.filter("not open").groupBy("bottom", "start").agg(F.min("m").alias("m")).filter("m is not null")

@@ -211,6 +211,17 @@ def join_rows(df):
     return most
 
 
+def test_cyclic_query_makes_no_pairs(spark, tmp_path):
+    """60 parts that all reach each other, every one a seed: no join makes a row for each pair."""
+    n = 60
+    spark.createDataFrame([(i, "Brand#13") for i in range(n)], "p_partkey long, p_brand string").write.parquet(f"{tmp_path}/part.parquet")
+    lines = [(o, k, part, "N") for o in range(n) for k, part in enumerate((o, (o + 1) % n, (7 * o + 3) % n))]
+    spark.createDataFrame(lines, "l_orderkey long, l_linenumber int, l_partkey long, l_returnflag string").write.parquet(f"{tmp_path}/lineitem.parquet")
+    found = QUERIES["impact_closure_cyclic"](spark, str(tmp_path))
+    assert join_rows(found) <= 10 * n
+    assert sorted((r["node"], r["n_causes"], r["first_cause"], r["last_cause"]) for r in found.collect()) == [(i, n - 1, int(i == 0), n - 1 - (i == n - 1)) for i in range(n)]
+
+
 def test_repeated_fixture_names_do_not_multiply(spark):
     """300 fixtures of one name, every third automatic, offered to 300 tests: each takes the first."""
     n = 300
